@@ -18,15 +18,16 @@ from sensorflow.schemas import EVENT_FIELDS, RESULT, STEPS
 
 ACK_MESSAGE = "Configuration registered successfully"
 
-_NO_STEPS = F.array().cast(STEPS)
+def _listed(steps: Column) -> Column:
+    return F.coalesce(steps, F.array().cast(STEPS))
 
 
 def element_steps(steps: Column) -> Column:
-    return F.filter(F.coalesce(steps, _NO_STEPS), lambda t: t["type"].isin(*STEP_BUILDERS))
+    return F.filter(_listed(steps), lambda t: t["type"].isin(*STEP_BUILDERS))
 
 
 def aggregation_steps(steps: Column) -> Column:
-    return F.filter(F.coalesce(steps, _NO_STEPS), lambda t: t["type"].isin(*AGGREGATES))
+    return F.filter(_listed(steps), lambda t: t["type"].isin(*AGGREGATES))
 
 
 def routing_keys(steps: Column) -> Column:
@@ -37,7 +38,7 @@ def routing_keys(steps: Column) -> Column:
     """
 
     def named(name: str) -> Column:
-        found = F.transform(F.coalesce(steps, _NO_STEPS), lambda t: ColumnParams(t["params"]).text(name))
+        found = F.transform(_listed(steps), lambda t: ColumnParams(t["params"]).text(name))
         return F.filter(found, lambda s: s.isNotNull())
 
     own = F.slice(named("sensor"), 1, 1)
@@ -65,7 +66,7 @@ def steps_hash(steps: Column) -> Column:
 
 def rejection(job_id: Column, steps: Column) -> Column:
     """Why a config is refused, or null where it is sound."""
-    listed = F.coalesce(steps, _NO_STEPS)
+    listed = _listed(steps)
     known = [*STEP_BUILDERS, *AGGREGATES]
     unknown = F.filter(listed, lambda t: ~F.coalesce(t["type"].isin(*known), F.lit(False)))
     unusable = F.filter(listed, lambda t: ~usable(t["type"], ColumnParams(t["params"])))
@@ -178,7 +179,7 @@ def prepared(configs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """
     steps = F.col("transformations")
     keep = [c for c in ("routing_sensor", "valid_from", "valid_to") if c in configs.columns]
-    listed = F.coalesce(steps, _NO_STEPS)
+    listed = _listed(steps)
     out = configs.select(
         F.col("jobId").alias("cfg_job_id"),
         steps.alias("cfg_steps"),
@@ -221,7 +222,7 @@ def config_acks(configs: DataFrame) -> DataFrame:
         "result_string": F.lit(ACK_MESSAGE),
         "transformations": F.col("transformations"),
         "steps_hash": steps_hash(F.col("transformations")),
-        "seq": F.col("seq") if "seq" in configs.columns else F.lit(None),
+        "seq": next((F.col(c) for c in ("seq", "arrival_seq") if c in configs.columns), F.lit(None)),
     }
     return configs.select(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT]

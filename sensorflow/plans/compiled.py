@@ -219,11 +219,11 @@ def jobs_outputs(events: DataFrame, jobs: Sequence[Job]) -> tuple[DataFrame, Dat
         exploded = events.where(wanted).select(F.explode(per_sensor).alias("o"))
         return exploded.where("o IS NOT NULL").select("o.*")
 
-    direct = branch(False).withColumn("transformations", _steps_of(jobs))
+    direct = branch(False).withColumn("transformations", steps_of(jobs))
     return branch(True), outputs.direct_results(direct)
 
 
-def _steps_of(jobs: Sequence[Job]) -> Column:
+def steps_of(jobs: Sequence[Job]) -> Column:
     """Step list of the row's job."""
     steps = F.lit(None)
     for job in jobs:
@@ -251,4 +251,4 @@ def run_jobs(
     """All result rows of many jobs over a batch of events."""
     inputs, direct = jobs_outputs(events, jobs)
     windowed = aggregates.aggregate_windows(inputs, seconds)
-    return windowed.withColumn("transformations", _steps_of(jobs)).unionByName(direct)
+    return windowed.withColumn("transformations", steps_of(jobs)).unionByName(direct)

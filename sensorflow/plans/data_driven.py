@@ -6,7 +6,7 @@ with the same builders the compiled plans use, its parameters read from the conf
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +147,9 @@ def _takes(every: Column, named: Column) -> Column:
     return every | F.coalesce(F.array_contains(named, F.col("sensor")), F.lit(False))
 
 
-def outputs_of(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
+def outputs_of(
+    paired: DataFrame, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(aggregation inputs, direct results) of (event, config) pairs: the job's output rule."""
     state = apply_steps(paired)
     row = RowState({c: F.col(c) for c in EVENT_COLUMNS})
@@ -162,6 +164,7 @@ def outputs_of(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("cfg_steps").alias("transformations"),
             "made.*",
             *outputs.OUTPUT_FIELDS,
+            *carry,
         )
 
     inputs = (

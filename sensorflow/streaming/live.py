@@ -8,16 +8,13 @@ does not end up in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sensorflow.operators import configs
 from sensorflow.schemas import EVENT_COLUMNS, STEPS
+from sensorflow.streaming.processors import LiveJobs
 
 PAIRED = T.StructType(
     [
@@ -35,58 +32,6 @@ PAIRED = T.StructType(
         T.StructField("cfg_document", T.StringType()),
     ]
 )
-_OUT = PAIRED.fieldNames()
-
-
-class LiveJobs(StatefulProcessor):
-    """Map state job id -> step list; the last registration wins, by `arrival_seq`."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState(
-            "jobs",
-            T.StructType([T.StructField("job_id", T.StringType())]),
-            T.StructType(
-                [T.StructField("document", T.StringType()), T.StructField("seq", T.LongType())]
-            ),
-        )
-
-    def _register(self, rows: pd.DataFrame) -> None:
-        ordered = rows.sort_values("cfg_seq", kind="stable")
-        for job, document, seq in zip(
-            ordered["cfg_job_id"], ordered["cfg_document"], ordered["cfg_seq"], strict=True
-        ):
-            slot = (job,)
-            if self.jobs.containsKey(slot) and self.jobs.getValue(slot)[1] > seq:
-                continue
-            self.jobs.updateValue(slot, (document, int(seq)))
-
-    def _registered(self) -> pd.DataFrame:
-        rows = [(k[0], v[0]) for k, v in self.jobs.iterator()]
-        return pd.DataFrame(rows, columns=["cfg_job_id", "cfg_document"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Batches of rows are paired as they come and none is held back: of the configs that
-        # share a micro-batch with an event, those in an earlier or the same Arrow batch count.
-        registered = None
-        for pdf in rows:
-            is_config = pdf["cfg_job_id"].notna()
-            if is_config.any():
-                self._register(pdf[is_config])
-                registered = None
-            events = pdf[~is_config]
-            if events.empty:
-                continue
-            if registered is None:
-                registered = self._registered()
-            if not registered.empty:
-                bare = events.drop(columns=["cfg_job_id", "cfg_document"])
-                yield bare.merge(registered, how="cross")[_OUT]
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._register(initialState)
-
-    def close(self) -> None:
-        pass
 
 
 def _config_rows(job_configs: DataFrame, salts: int) -> DataFrame:
@@ -134,7 +79,7 @@ def paired_with_live_jobs(
     if registered is not None:
         given = _config_rows(registered, salts).groupBy("key_sensor", "key_salt")
     paired = rows.groupBy("key_sensor", "key_salt").transformWithStateInPandas(
-        LiveJobs(),
+        LiveJobs(PAIRED.fieldNames()),
         PAIRED,
         "Append",
         "EventTime" if event_time else "None",

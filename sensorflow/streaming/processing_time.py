@@ -7,43 +7,21 @@ few partial accumulators.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sensorflow.operators import aggregates
-
-_MAX_LONG, _MIN_LONG = (1 << 63) - 1, -(1 << 63)
-_NUMBERS = [
-    T.StructField("total", T.DoubleType()),
-    T.StructField("nans", T.LongType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("low", T.DoubleType()),
-    T.StructField("high", T.DoubleType()),
-    T.StructField("low_us", T.LongType()),
-    T.StructField("high_us", T.LongType()),
-    T.StructField("seq", T.LongType()),
-]
-_NUMBER_NAMES = [f.name for f in _NUMBERS]
-_FOLDS = {
-    "total": "sum",
-    "nans": "sum",
-    "n": "sum",
-    "low": "min",
-    "high": "max",
-    "low_us": "min",
-    "high_us": "max",
-}
-
-
-def _text(names: Sequence[str]) -> list[T.StructField]:
-    return [T.StructField(n, T.StringType()) for n in names]
-
+from sensorflow.streaming.processors import (
+    MAX_LONG,
+    MIN_LONG,
+    NUMBERS,
+    ClockWindows,
+    batch_fold,
+    text_fields,
+)
 
 def _as_partials(inputs: DataFrame, context: Sequence[str]) -> DataFrame:
     """Each input row as an accumulator of one row; nothing in it is null but text."""
@@ -56,116 +34,29 @@ def _as_partials(inputs: DataFrame, context: Sequence[str]) -> DataFrame:
         F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("n"),
         F.when(number, v).otherwise(aggregates.INF).alias("low"),
         F.when(number, v).otherwise(-aggregates.INF).alias("high"),
-        F.coalesce(F.unix_micros("value_ts"), F.lit(_MAX_LONG)).alias("low_us"),
-        F.coalesce(F.unix_micros("value_ts"), F.lit(_MIN_LONG)).alias("high_us"),
-        F.coalesce("arrival_seq", F.lit(_MAX_LONG)).alias("seq"),
+        F.coalesce(F.unix_micros("value_ts"), F.lit(MAX_LONG)).alias("low_us"),
+        F.coalesce(F.unix_micros("value_ts"), F.lit(MIN_LONG)).alias("high_us"),
+        F.coalesce("arrival_seq", F.lit(MAX_LONG)).alias("seq"),
         *context,
     )
 
 
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys = list(aggregates.GROUP)
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        ordered = pdf.sort_values("seq", kind="stable")
-        groups = ordered.groupby(keys, dropna=False, sort=False)
-        first = groups.head(1).set_index(keys)  # earliest row: its seq and its context
-        folded = groups.agg(_FOLDS)
-        yield first.drop(columns=list(_FOLDS)).join(folded).reset_index()[list(pdf.columns)]
-
-
-class ClockWindows(StatefulProcessor):
-    """Keeps one accumulator per open window of a group and emits it when its timer fires."""
-
-    def __init__(self, seconds: int, context: Sequence[str]):
-        self.width = seconds * 1000
-        self.context = list(context)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.windows = handle.getMapState(
-            "windows",
-            T.StructType([T.StructField("start", T.LongType())]),
-            T.StructType([*_NUMBERS, *_text(self.context)]),
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        start = now - now % self.width
-        slot = (start,)
-        acc = self.windows.getValue(slot) if self.windows.containsKey(slot) else None
-        if acc is None:
-            self.handle.registerTimer(start + self.width)
-        for pdf in rows:
-            acc = self._fold(acc, pdf)
-        if acc is not None:
-            self.windows.updateValue(slot, acc)
-        return iter(())
-
-    def _fold(self, acc, pdf: pd.DataFrame):
-        if pdf.empty:
-            return acc
-        first = pdf.loc[pdf["seq"].idxmin()]
-        seen = {
-            "total": float(pdf["total"].sum()),
-            "nans": int(pdf["nans"].sum()),
-            "n": int(pdf["n"].sum()),
-            "low": float(pdf["low"].min()),
-            "high": float(pdf["high"].max()),
-            "low_us": int(pdf["low_us"].min()),
-            "high_us": int(pdf["high_us"].max()),
-            "seq": int(first["seq"]),
-        }
-        words = [None if pd.isna(first[c]) else str(first[c]) for c in self.context]
-        if acc is None:
-            return (*[seen[n] for n in _NUMBER_NAMES], *words)
-        old = dict(zip(_NUMBER_NAMES, acc, strict=False))
-        if old["seq"] <= seen["seq"]:
-            words = list(acc[len(_NUMBER_NAMES) :])
-        merged = {
-            "total": old["total"] + seen["total"],
-            "nans": old["nans"] + seen["nans"],
-            "n": old["n"] + seen["n"],
-            "low": min(old["low"], seen["low"]),
-            "high": max(old["high"], seen["high"]),
-            "low_us": min(old["low_us"], seen["low_us"]),
-            "high_us": max(old["high_us"], seen["high_us"]),
-            "seq": min(old["seq"], seen["seq"]),
-        }
-        return (*[merged[n] for n in _NUMBER_NAMES], *words)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        start = end - self.width
-        if not self.windows.containsKey((start,)):
-            return
-        acc = self.windows.getValue((start,))
-        self.windows.removeKey((start,))
-        names = [*aggregates.GROUP, "start_us", *_NUMBER_NAMES, *self.context]
-        row = pd.DataFrame([[*key, start * 1000, *acc]], columns=names)
-        yield row.astype({c: np.int64 for c in ("start_us", "nans", "n", "low_us", "high_us", "seq")})
-
-    def close(self) -> None:
-        pass
-
-
 def clock_windows(
     inputs: DataFrame, seconds: int, context: Sequence[str] = aggregates.CONTEXT
 ) -> DataFrame:
     """One accumulator row per window of arrival and group."""
     partials = _as_partials(inputs, context)
-    folded = partials.mapInPandas(_fold_batches, partials.schema)
+    folded = partials.mapInPandas(batch_fold(aggregates.GROUP), partials.schema)
     emitted = T.StructType(
         [
-            *_text(aggregates.GROUP),
+            *text_fields(aggregates.GROUP),
             T.StructField("start_us", T.LongType()),
-            *_NUMBERS,
-            *_text(context),
+            *NUMBERS,
+            *text_fields(context),
         ]
     )
     closed = folded.groupBy(*aggregates.GROUP).transformWithStateInPandas(
-        ClockWindows(seconds, context), emitted, "Append", "ProcessingTime"
+        ClockWindows(seconds, aggregates.GROUP, context), emitted, "Append", "ProcessingTime"
     )
     width = F.lit(seconds * 1_000_000)
 
@@ -182,8 +73,8 @@ def clock_windows(
         "n",
         "low",
         "high",
-        stamp("low_us", _MAX_LONG).alias("low_ts"),
-        stamp("high_us", _MIN_LONG).alias("high_ts"),
-        F.when(F.col("seq") != _MAX_LONG, F.col("seq")).alias("seq"),
+        stamp("low_us", MAX_LONG).alias("low_ts"),
+        stamp("high_us", MIN_LONG).alias("high_ts"),
+        F.when(F.col("seq") != MAX_LONG, F.col("seq")).alias("seq"),
         *context,
     )
