@@ -11,6 +11,7 @@ from sensorflow.functions.vocabulary import DEFAULT_UNIT, RANGES, UNITS
 
 def quality_label(sensor: Column, measurement: Column) -> Column:
     """Label by how far a measurement lies from what its sensor usually shows."""
+    measurement = F.when(~F.isnan(measurement), measurement)  # NaN meets no condition
     # Fixed values: (sensor, condition, score), first match counts.
     off = F.abs(measurement - F.lit(22.0))
     score = (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,3 +121,27 @@ def start_live_jobs(
         messages.good_events(parsed), accepted, seconds, salts, delay=delay
     )
     return start(results, settings.output, settings.checkpoint, **trigger)
+
+
+def drain(query: StreamingQuery, seconds: int, timeout: float = 600.0) -> None:
+    """Let a stream with clock windows take its present input and close its windows, then stop it.
+
+    Windows close while nothing arrives, so the query is left running until a batch without
+    input has started later than the last window can end.
+    """
+    deadline = time.monotonic() + timeout
+    last_input = None
+    try:
+        while time.monotonic() < deadline:
+            if query.exception() is not None:
+                raise query.exception()
+            for p in query.recentProgress:
+                at = datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")).timestamp()
+                if p["numInputRows"] > 0:
+                    last_input = at if last_input is None else max(at, last_input)
+                elif last_input is not None and at > last_input + 2 * seconds + 1:
+                    return
+            time.sleep(0.5)
+        raise TimeoutError("the stream did not close its windows in time")
+    finally:
+        query.stop()
