@@ -14,10 +14,10 @@ from sensorflow.catalog.common import (
     element,
     events,
     job,
-    passed,
     passed_sql,
     source,
     union_sql,
+    window_start,
     windowed,
     windowed_sql,
 )
@@ -89,20 +89,17 @@ def _hourly_sql(kind: str) -> str:
 
 def _flat(results: DataFrame) -> DataFrame:
     """Every kind of result row in one shape."""
-    w, p = windowed(results), passed(results)
-    common = ["job_id", "grouping_key", "location"]
-    return w.select(
-        *common, "window_start", "aggregation_type", "result_double", "result_string",
-        F.col("first_event_id").alias("event_id"),
-    ).unionByName(
-        p.select(
-            *common,
-            F.lit(None).cast("string").alias("window_start"),
-            F.lit(None).cast("string").alias("aggregation_type"),
-            F.col("measurement").alias("result_double"),
-            F.col("datetime").alias("result_string"),
-            "event_id",
-        )
+    direct = F.col("result_kind") == "passthrough"
+    e = F.col("result_event")
+    return results.select(
+        "job_id",
+        "grouping_key",
+        "location",
+        window_start().alias("window_start"),
+        "aggregation_type",
+        F.round(F.when(direct, e["measurement"]).otherwise(F.col("result_double")), 6).alias("result_double"),
+        F.when(direct, e["datetime"]).otherwise(F.col("result_string")).alias("result_string"),
+        F.col("seq").alias("event_id"),
     )
 
 

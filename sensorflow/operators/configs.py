@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from sensorflow.functions import scalars
 from sensorflow.operators.aggregates import AGGREGATES
-from sensorflow.operators.steps import STEP_BUILDERS, ColumnParams, usable
+from sensorflow.operators.steps import (
+    CLEANERS,
+    REQUIRED_NUMBERS,
+    STEP_BUILDERS,
+    ColumnParams,
+    usable,
+)
 from sensorflow.schemas import EVENT_FIELDS, RESULT, STEPS
 
 ACK_MESSAGE = "Configuration registered successfully"
@@ -211,7 +217,19 @@ def prepared(configs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     ).withColumn("cfg_aggregations", F.transform(aggs, with_blockers))
     if "routing_sensor" not in keep:
         out = out.withColumn("routing_sensor", F.explode(routing_keys(F.col("cfg_steps"))))
-    return out
+    # A settled job never emits an event as it is: some aggregation takes every event of the
+    # sensor, and none fails. Its pairs can be left out of the direct results altogether.
+    may_rename = F.exists(
+        F.col("cfg_elements"),
+        lambda t: ~t["type"].isin(*REQUIRED_NUMBERS)
+        & (~t["type"].isin(*CLEANERS) | (F.coalesce(t["field"], F.lit("location")) == "sensor")),
+    )
+    sure = F.col("cfg_takes_all") | (
+        F.coalesce(F.array_contains("cfg_takes", F.col("routing_sensor")), F.lit(False))
+        & ~may_rename
+    )
+    fails = F.col("cfg_unusable") | F.col("cfg_breaks_all") | (F.size("cfg_breaks") > 0)
+    return out.withColumn("cfg_settled", sure & ~fails)
 
 
 def config_acks(configs: DataFrame) -> DataFrame:

@@ -30,6 +30,9 @@ REQUIRED_NUMBERS = {
     "normalize": ("min", "max"),
 }
 
+# Steps that change a text field.
+CLEANERS = ("to_lowercase", "to_uppercase", "trim_whitespace")
+
 
 @lru_cache(maxsize=4096)
 def as_double(text: str | None) -> float | None:

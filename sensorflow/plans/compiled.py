@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
 from sensorflow.operators import aggregates, outputs
 from sensorflow.operators.steps import (
+    CLEANERS,
     REQUIRED_NUMBERS,
     LiteralParams,
     RowState,
@@ -74,9 +75,8 @@ def _sound(job: Job) -> bool:
 
 def _keeps_sensor(job: Job) -> bool:
     """No step changes the sensor field, as far as the driver can tell."""
-    cleaners = ("to_lowercase", "to_uppercase", "trim_whitespace")
     return all(
-        s.type in REQUIRED_NUMBERS or (s.type in cleaners and s.params.get("field") != "sensor")
+        s.type in REQUIRED_NUMBERS or (s.type in CLEANERS and s.params.get("field") != "sensor")
         for s in job.elements
     )
 

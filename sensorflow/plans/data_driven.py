@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorflow.functions.once import computed_once
 from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
 from sensorflow.operators import aggregates, configs, outputs
 from sensorflow.operators.steps import STEP_BUILDERS, RowState, StructParams
@@ -20,6 +21,8 @@ from sensorflow.schemas import CLEANABLE_FIELDS, EVENT_COLUMNS
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 BUCKET_SECONDS = 3600
+# Versions of one sensor's jobs that an event may be compared with one by one.
+PROBED_VERSIONS = 64
 
 
 def serialized_bytes(df: DataFrame) -> int:
@@ -68,15 +71,18 @@ def join_configs_as_of(
 ) -> DataFrame:
     """Pair each event with the configs that were the latest ones at its time `at`.
 
-    `log` holds every registration with `registered_at` and `seq`. A small log is
-    broadcast and probed by sensor. A large one is cut at time buckets, so that an event
-    only meets the versions alive in its own (sensor, bucket).
+    `log` holds every registration with `registered_at` and `seq`. A log that is small, and
+    short for every sensor, is broadcast and probed by sensor. Any other is cut at time
+    buckets, so that an event only meets the versions alive in its own (sensor, bucket);
+    busy sensors are spread over their buckets by the same key.
     """
     spans = configs.prepared(configs.validity_intervals(log))
     alive = (F.col(at) >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))
     )
-    if serialized_bytes(spans) <= broadcast_bytes:
+    versions = log.groupBy(configs.routing_key(F.col("transformations"))).count()
+    most = versions.agg(F.max("count").alias("n")).first()["n"] or 0
+    if most <= PROBED_VERSIONS and serialized_bytes(spans) <= broadcast_bytes:
         joined = events.join(F.broadcast(spans), (F.col("sensor") == F.col("routing_sensor")) & alive)
         return joined.drop("valid_from", "valid_to")
 
@@ -124,11 +130,7 @@ CHANGING = ("measurement", *CLEANABLE_FIELDS)
 
 
 def apply_steps(paired: DataFrame) -> DataFrame:
-    """Run each pair's element steps: adds `keep`, and changes the event columns.
-
-    The state is exploded from a one-element array: a later filter on `keep` then cannot
-    be pushed below it, which would compute the fold once more per filter.
-    """
+    """Run each pair's element steps: adds `keep`, and changes the event columns."""
     others = [c for c in paired.columns if c not in CHANGING]
     fixed = {c: F.col(c) for c in EVENT_COLUMNS if c not in CHANGING}
 
@@ -140,7 +142,7 @@ def apply_steps(paired: DataFrame) -> DataFrame:
 
     start = F.struct((~F.col("cfg_unusable")).alias("keep"), *CHANGING)
     done = F.aggregate(F.col("cfg_elements"), start, advance)
-    return paired.select(*others, F.explode(F.array(done)).alias("s")).select(*others, "s.*")
+    return computed_once(paired, "s", done).select(*others, "s.*")
 
 
 def _takes(every: Column, named: Column) -> Column:
@@ -151,7 +153,10 @@ def outputs_of(
     paired: DataFrame, carry: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(aggregation inputs, direct results) of (event, config) pairs: the job's output rule."""
-    state = apply_steps(paired)
+    # Conditions on the config alone reach its side of the join: a job is folded only for
+    # the branches it can emit to.
+    aggregating = apply_steps(paired.where(F.size("cfg_aggregations") > 0))
+    emitting = apply_steps(paired.where(~F.col("cfg_settled")))
     row = RowState({c: F.col(c) for c in EVENT_COLUMNS})
     taken = _takes(F.col("cfg_takes_all"), F.col("cfg_takes"))
     broken = _takes(F.col("cfg_breaks_all"), F.col("cfg_breaks"))
@@ -168,7 +173,7 @@ def outputs_of(
         )
 
     inputs = (
-        state.where(F.col("keep") & taken)
+        aggregating.where(F.col("keep") & taken)
         .withColumn("a", F.explode("cfg_aggregations"))
         .where(a["sensor"].isNull() | (a["sensor"] == F.col("sensor")))
         .where(a["field"].isNotNull() & ~_takes(a["blocked_all"], a["blocked"]))
@@ -178,7 +183,7 @@ def outputs_of(
     whole = F.when(failed, outputs.whole_event(row, outputs.ERROR)).otherwise(
         outputs.whole_event(row, outputs.PASSTHROUGH)
     )
-    direct = shaped(state.where(failed | (F.col("keep") & ~taken)), whole)
+    direct = shaped(emitting.where(failed | (F.col("keep") & ~taken)), whole)
     return shaped(inputs, made).drop("transformations"), outputs.direct_results(direct)
 
 

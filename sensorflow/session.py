@@ -10,6 +10,23 @@ from pyspark.sql import SparkSession
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Settings worth having in every session; none of them changes a result.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    # Plans are built from many small Columns; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Times in events are instants; text forms of them are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

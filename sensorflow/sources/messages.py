@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorflow.functions import scalars
+from sensorflow.functions.once import computed_once
 from sensorflow.schemas import EVENT_FIELDS, EVENT_JSON, JOB_CONFIG
 
 _CORRUPT = "_corrupt_record"
@@ -38,11 +39,13 @@ def parse_events(messages: DataFrame) -> DataFrame:
     text stays in `raw`; Spark leaves it out of any plan that does not use it.
     """
     has = {*messages.columns}
-    parsed = non_empty(messages).select(
+    decoded = non_empty(messages).select(
         decode_utf8(F.col("value")).alias("raw"),
         (F.col("arrival_seq") if "arrival_seq" in has else F.lit(None)).cast("long").alias("arrival_seq"),
         (F.col("arrival_ts") if "arrival_ts" in has else F.lit(None)).cast("timestamp").alias("arrival_ts"),
-    ).withColumn("e", F.from_json("raw", _with_corrupt(EVENT_JSON), _JSON_OPTIONS))
+    )
+    document = F.from_json("raw", _with_corrupt(EVENT_JSON), _JSON_OPTIONS)
+    parsed = computed_once(decoded, "e", document)
     e = F.col("e")
     # An explicit null is no measurement, unlike an absent one. Only rows whose parsed
     # measurement is null pay for the second look at the text.
@@ -73,8 +76,9 @@ def quarantined(parsed: DataFrame) -> DataFrame:
 def parse_configs(messages: DataFrame) -> DataFrame:
     """One row per non-empty message: config columns and `reason`, null where it parsed."""
     parsed = non_empty(messages).withColumn("raw", decode_utf8(F.col("value")))
-    parsed = parsed.withColumn(
-        "c", F.from_json("raw", _with_corrupt(JOB_CONFIG), {**_JSON_OPTIONS, "allowNonNumericNumbers": "true"})
+    options = {**_JSON_OPTIONS, "allowNonNumericNumbers": "true"}
+    parsed = computed_once(
+        parsed, "c", F.from_json("raw", _with_corrupt(JOB_CONFIG), options)
     )
     c = F.col("c")
     others = [n for n in messages.columns if n != "value"]

@@ -156,7 +156,8 @@ class LiveJobs(StatefulProcessor):
         )
 
     def _register(self, rows: pd.DataFrame) -> None:
-        ordered = rows.sort_values("cfg_seq", kind="stable")
+        # Of a job registered over and over, only the last row reaches the state.
+        ordered = rows.sort_values("cfg_seq", kind="stable").drop_duplicates("cfg_job_id", keep="last")
         for job, document, seq in zip(
             ordered["cfg_job_id"], ordered["cfg_document"], ordered["cfg_seq"], strict=True
         ):
