@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,16 @@ def quality_label(sensor: Column, measurement: Column) -> Column:
 
 def range_table(spark: SparkSession) -> DataFrame:
     """Six rows, one per known sensor."""
-    rows = [(s, UNITS[s], low, high) for s, (low, high) in RANGES.items()]
-    return spark.createDataFrame(rows, "sensor string, unit string, low double, high double")
+    return spark.createDataFrame(
+        pa.table(
+            {
+                "sensor": list(RANGES),
+                "unit": [UNITS[s] for s in RANGES],
+                "low": [low for low, _ in RANGES.values()],
+                "high": [high for _, high in RANGES.values()],
+            }
+        )
+    )
 
 
 def clamp_range(events: DataFrame) -> DataFrame:

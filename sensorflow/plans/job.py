@@ -9,6 +9,7 @@ from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +95,15 @@ def load_jobs(directory: str | Path) -> list[Job]:
 
 def jobs_frame(spark: SparkSession, jobs: Iterable[Job]) -> DataFrame:
     """The jobs as config rows, numbered in the order given."""
-    rows = [(j.job_id, j.document, n) for n, j in enumerate(jobs)]
-    return spark.createDataFrame(rows, "jobId string, document string, seq long").select(
+    listed = list(jobs)
+    table = pa.table(
+        {
+            "jobId": pa.array([j.job_id for j in listed], pa.string()),
+            "document": pa.array([j.document for j in listed], pa.string()),
+            "seq": pa.array(range(len(listed)), pa.int64()),
+        }
+    )
+    return spark.createDataFrame(table).select(
         "jobId",
         F.from_json("document", STEPS).alias("transformations"),
         F.lit(None).cast("string").alias("outputTopic"),
