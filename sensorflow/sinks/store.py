@@ -68,6 +68,8 @@ def write_batch(results: DataFrame, batch_id: int, output: str) -> None:
         .parquet(history)
     )
     written = spark.read.schema(STORED).parquet(history)
+    if written.isEmpty():  # an idle stream still runs batches
+        return
     (
         newest(written)
         .select(*STORED.fieldNames())

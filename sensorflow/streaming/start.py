@@ -144,4 +144,12 @@ def drain(query: StreamingQuery, seconds: int, timeout: float = 600.0) -> None:
             time.sleep(0.5)
         raise TimeoutError("the stream did not close its windows in time")
     finally:
-        query.stop()
+        stop_between_batches(query)
+
+
+def stop_between_batches(query: StreamingQuery, timeout: float = 60.0) -> None:
+    """Stop a stream, if possible, while no batch is running."""
+    deadline = time.monotonic() + timeout
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < deadline:
+        time.sleep(0.05)
+    query.stop()

@@ -119,7 +119,7 @@ def test_live_jobs_see_later_events_only_and_windows_close_while_idle(spark, tmp
         rows = until(spark, folder, lambda rows: any(r["result_double"] == 11.0 for r in rows), query)
         assert {r["job_id"] for r in rows} == {"hot"}
     finally:
-        query.stop()
+        start.stop_between_batches(query)
     # The registered job outlives a restart; the new one meets only what comes after it.
     folder.configs(late)
     query = run()
@@ -130,7 +130,7 @@ def test_live_jobs_see_later_events_only_and_windows_close_while_idle(spark, tmp
             spark, folder, lambda rows: sum(r["result_double"] == 8.0 for r in rows) == 2, query
         )
     finally:
-        query.stop()
+        start.stop_between_batches(query)
     late_rows = [r["result_double"] for r in rows if r["job_id"] == "late" and r["result_kind"] == "aggregate"]
     assert late_rows == [8.0]
     acks = [r["job_id"] for r in rows if r["result_kind"] == "ack"]
