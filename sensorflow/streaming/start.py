@@ -22,7 +22,7 @@ from sensorflow.streaming.event_time import event_time_windows
 from sensorflow.streaming.live import paired_with_live_jobs, with_prepared_steps
 from sensorflow.streaming.processing_time import clock_windows
 
-# Fixed value: how often the reference setup takes a checkpoint.
+# Fixed value: seconds between checkpoints of the set-up whose results are matched.
 CHECKPOINT_INTERVAL = "30 seconds"
 
 
@@ -147,8 +147,8 @@ def drain(query: StreamingQuery, seconds: int, timeout: float = 600.0) -> None:
         stop_between_batches(query)
 
 
-def stop_between_batches(query: StreamingQuery, timeout: float = 60.0) -> None:
-    """Stop a stream, if possible, while no batch is running."""
+def stop_between_batches(query: StreamingQuery, timeout: float = 3.0) -> None:
+    """Stop a stream while no batch is running, if such a moment comes soon."""
     deadline = time.monotonic() + timeout
     while query.isActive and query.status["isTriggerActive"] and time.monotonic() < deadline:
         time.sleep(0.05)

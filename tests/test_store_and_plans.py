@@ -9,7 +9,9 @@ from sensorflow.operators import configs
 from sensorflow.plans import compiled, data_driven
 from sensorflow.plans.job import jobs_frame
 from sensorflow.session import work_dir
-from sensorflow.sinks import documents, store
+from sensorflow.sinks import documents, publish, store
+from sensorflow.sources import messages
+from sensorflow.sources.streams import Settings
 from sensorflow.sources.tables import activity_columns
 from sensorflow.schemas import EVENT_COLUMNS
 
@@ -67,6 +69,16 @@ def test_collection_names(spark):
     assert got == ["a_b_c__", "unknown_job", "unknown_job"]
 
 
+def test_published_messages_are_read_back(spark, tmp_path):
+    settings = Settings(config_path=str(tmp_path / "c"), event_path=str(tmp_path / "e"))
+    publish.publish_configs(configs.config_messages(jobs_frame(spark, [MAX_T])), settings)
+    publish.publish_events(documents.event_messages(frame(spark, [event("t", 1.5)])), settings)
+    read = messages.parse_configs(spark.read.text(settings.config_path)).first()
+    assert (read["jobId"], len(read["transformations"]), read["reason"]) == ("max t!", 2, None)
+    back = messages.parse_events(spark.read.text(settings.event_path)).first()
+    assert (back["sensor"], back["measurement"], back["reason"]) == ("t", 1.5, None)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
