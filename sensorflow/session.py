@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,15 +33,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder that the cluster names.
+    """A new folder that driver and executors share, on every master by the same rule.
 
-    A local session without that setting gets a temporary folder; on a cluster the
-    setting is required, for executors must all reach the folder.
+    It lies below the folder of `spark.checkpoint.dir`, else below the warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="sensorflow-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
