@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorflow.llm import exact_dedup, quality_rules
+from sensorflow.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +20,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary, capacity=2048)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.counted(_table(spark, sf_dir, "documents"), vocabulary, limit=512)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_exact_dedup, op4_byte_bpe, op5_packing, op10_token_counts)
+}
 SQL: dict[str, str] = {}
