@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorflow.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts
+from sensorflow.llm import archives, byte_bpe, exact_dedup, packing, quality_rules, token_counts, url_filter
+from sensorflow.session import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), vocabulary, capacity=2048)
 
 
+# Fixed: the rules that the query judges by.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "archives")
+    archives.write(_table(spark, sf_dir, "pages"), folder)
+    return archives.read(spark, folder, with_payload=False).drop("payload")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.counted(_table(spark, sf_dir, "documents"), vocabulary, limit=512)
@@ -37,6 +58,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_exact_dedup, op4_byte_bpe, op5_packing, op10_token_counts)
+    for f in (op1_quality_rules, op2_exact_dedup, op4_byte_bpe, op5_packing, op7_url_filter, op8_archives, op10_token_counts)
 }
 SQL: dict[str, str] = {}
