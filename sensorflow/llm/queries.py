@@ -5,7 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorflow.llm import archives, byte_bpe, exact_dedup, packing, quality_rules, token_counts, url_filter
+from sensorflow.llm import (
+    archives,
+    byte_bpe,
+    exact_dedup,
+    ngram_join,
+    packing,
+    quality_rules,
+    token_counts,
+    url_filter,
+)
 from sensorflow.session import work_dir
 
 
@@ -31,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), vocabulary, capacity=2048)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 # Fixed: the rules that the query judges by.
 URL_RULES = [
     ("allow", "org/"),
@@ -58,6 +71,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_exact_dedup, op4_byte_bpe, op5_packing, op7_url_filter, op8_archives, op10_token_counts)
+    for f in (
+        op1_quality_rules,
+        op2_exact_dedup,
+        op4_byte_bpe,
+        op5_packing,
+        op6_ngram_join,
+        op7_url_filter,
+        op8_archives,
+        op10_token_counts,
+    )
 }
 SQL: dict[str, str] = {}
