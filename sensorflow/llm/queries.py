@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorflow.llm import (
     archives,
@@ -11,7 +12,9 @@ from sensorflow.llm import (
     exact_dedup,
     ngram_join,
     packing,
+    personal_data,
     quality_rules,
+    secret_scan,
     token_counts,
     url_filter,
 )
@@ -30,6 +33,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -64,6 +71,12 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read(spark, folder, with_payload=False).drop("payload")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    repository = F.concat_ws("/", "source", "lang")
+    return secret_scan.report(secret_scan.find(docs, F.col("source"), repository))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.counted(_table(spark, sf_dir, "documents"), vocabulary, limit=512)
@@ -74,11 +87,13 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op2_exact_dedup,
+        op3_personal_data,
         op4_byte_bpe,
         op5_packing,
         op6_ngram_join,
         op7_url_filter,
         op8_archives,
+        op9_secret_scan,
         op10_token_counts,
     )
 }
