@@ -119,23 +119,29 @@ def _flat_passed_sql(*args, **kwargs) -> str:
 
 
 _DIRTY_NAMED = source(dirty=True, named_sensors=True)
-_CLEAN = r"lower(regexp_replace(location, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'))"
 _SCALED = "greatest(0.0, least(1.0, measurement / 100))"
 
+_TIDY = r"upper(regexp_replace(location, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'))"
+
+
+def _share(low: int, width: int) -> str:
+    return f"greatest(0.0, least(1.0, (measurement - {low}) / {width}))"
+
+
 ALL_JOBS_SQL = union_sql(
-    _flat_windows_sql("air-quality-hot-days", "max", "sensor = 'air_quality' AND measurement > 100", src=_DIRTY_NAMED),
-    _flat_windows_sql("cold-humid-rooms", "max", "sensor = 'humidity' AND measurement > 70", src=_DIRTY_NAMED),
-    _flat_windows_sql("light-high-humidity", "max", "sensor = 'light' AND measurement > 500", src=_DIRTY_NAMED),
-    _flat_windows_sql("low-humidity-dates", "max", "sensor = 'humidity' AND measurement < 30", field="datetime", src=_DIRTY_NAMED),
-    _flat_windows_sql("noise-levels", "max", "sensor = 'noise' AND measurement > 60", src=_DIRTY_NAMED),
-    _flat_windows_sql("normalize-humidity-example", "avg", "sensor = 'humidity'", value=_SCALED, src=_DIRTY_NAMED),
-    _flat_windows_sql("pressure-monitoring", "max", "sensor = 'pressure' AND measurement > 1020", src=_DIRTY_NAMED),
-    _flat_windows_sql("text-cleaning-example", "max", "sensor = 'temperature'", location=_CLEAN, src=_DIRTY_NAMED),
-    _flat_passed_sql("test-filter-greater", "sensor = 'temperature' AND measurement > 25", src=_DIRTY_NAMED),
-    _flat_passed_sql("test-filter-less", "sensor = 'humidity' AND measurement < 60", src=_DIRTY_NAMED),
-    _flat_passed_sql("test-normalize", "sensor = 'temperature'", measurement=_SCALED, src=_DIRTY_NAMED),
-    _flat_passed_sql("test-text-cleaning", "sensor = 'humidity'", location=_CLEAN, src=_DIRTY_NAMED),
-    _flat_passed_sql("test123-job", "sensor = 'temperature' AND measurement > 40", src=_DIRTY_NAMED),
+    _flat_windows_sql("stale-air-peaks", "max", "sensor = 'air_quality' AND measurement > 85.5", src=_DIRTY_NAMED),
+    _flat_windows_sql("damp-corners", "avg", "sensor = 'humidity' AND measurement > 62.5", src=_DIRTY_NAMED),
+    _flat_windows_sql("bright-spots", "min", "sensor = 'light' AND measurement > 140", src=_DIRTY_NAMED),
+    _flat_windows_sql("dry-spell-start", "min", "sensor = 'humidity' AND measurement < 18.25", field="datetime", src=_DIRTY_NAMED),
+    _flat_windows_sql("loudest-moments", "max", "sensor = 'noise' AND measurement > 33.5", src=_DIRTY_NAMED),
+    _flat_windows_sql("humidity-share", "max", "sensor = 'humidity'", value=_share(20, 200), src=_DIRTY_NAMED),
+    _flat_windows_sql("pressure-floor", "min", "sensor = 'pressure' AND measurement < 512", src=_DIRTY_NAMED),
+    _flat_windows_sql("tidy-light-average", "avg", "sensor = 'light'", location=_TIDY, src=_DIRTY_NAMED),
+    _flat_passed_sql("warm-readings", "sensor = 'temperature' AND measurement > 17.5", src=_DIRTY_NAMED),
+    _flat_passed_sql("dim-readings", "sensor = 'light' AND measurement < 75.5", src=_DIRTY_NAMED),
+    _flat_passed_sql("noise-share", "sensor = 'noise'", measurement=_share(10, 200), src=_DIRTY_NAMED),
+    _flat_passed_sql("tidy-pressure-places", "sensor = 'pressure'", location=_TIDY, src=_DIRTY_NAMED),
+    _flat_passed_sql("noise-without-light", "sensor = 'noise' AND measurement > 44", src=_DIRTY_NAMED),
 )
 
 

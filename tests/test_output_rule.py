@@ -175,19 +175,19 @@ def test_user_aggregate(spark):
 
 
 OUTCOMES = {
-    "air-quality-hot-days": {("aggregate", "max")},
-    "cold-humid-rooms": {("aggregate", "max")},
-    "light-high-humidity": {("aggregate", "max")},
-    "low-humidity-dates": {("aggregate", "max")},
-    "noise-levels": {("aggregate", "max")},
-    "normalize-humidity-example": {("aggregate", "avg")},
-    "pressure-monitoring": {("aggregate", "max")},
-    "test-filter-greater": {("passthrough", None)},
-    "test-filter-less": {("passthrough", None)},
-    "test-normalize": {("passthrough", None)},
-    "test-text-cleaning": {("passthrough", None)},
-    "test123-job": {("passthrough", None)},
-    "text-cleaning-example": {("aggregate", "max")},
+    "stale-air-peaks": {("aggregate", "max")},
+    "damp-corners": {("aggregate", "avg")},
+    "bright-spots": {("aggregate", "min")},
+    "dry-spell-start": {("aggregate", "min")},
+    "loudest-moments": {("aggregate", "max")},
+    "humidity-share": {("aggregate", "max")},
+    "pressure-floor": {("aggregate", "min")},
+    "tidy-light-average": {("aggregate", "avg")},
+    "warm-readings": {("passthrough", None)},
+    "dim-readings": {("passthrough", None)},
+    "noise-share": {("passthrough", None)},
+    "tidy-pressure-places": {("passthrough", None)},
+    "noise-without-light": {("passthrough", None)},
 }
 
 
@@ -214,7 +214,7 @@ def test_the_thirteen_jobs(spark):
     for r in out:
         seen.setdefault(r["job_id"], set()).add((r["kind"], r["agg"]))
     assert seen == OUTCOMES
-    one = next(j for j in jobs if j.job_id == "text-cleaning-example")
+    one = next(j for j in jobs if j.job_id == "tidy-light-average")
     assert collected(compiled.run_job(events, one)) == [r for r in out if r["job_id"] == one.job_id]
 
 
