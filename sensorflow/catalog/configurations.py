@@ -137,14 +137,19 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _as_of(broadcast_bytes: int):
-    """Each event under the registrations in force at its time; the log is the table itself."""
+def _as_of(slice_seconds: int, untimed: bool = False):
+    """Each event under the registrations in force at its time; the log is the table itself.
+
+    `untimed` blanks the time of every second event, which then meets the last ones.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = activity(spark, sf_dir)
         columns = activity_columns()
         e = rows.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
-        joined = data_driven.join_configs_as_of(e, registrations(rows), broadcast_bytes=broadcast_bytes)
+        if untimed:
+            e = e.withColumn("event_ts", F.when(F.col("arrival_seq") % 2 == 0, F.col("event_ts")))
+        joined = data_driven.join_configs_as_of(e, registrations(rows), slice_seconds=slice_seconds)
         return joined.select(
             F.col("arrival_seq").alias("event_id"),
             F.col("cfg_job_id").alias("job_id"),
@@ -230,8 +235,16 @@ QUERIES = {
         _split,
         "SELECT event_id, 'trim_whitespace,filter_less' AS elements, 'sum,max' AS aggregations FROM events",
     ),
-    "config_asof": (_as_of(data_driven.BROADCAST_BYTES), _AS_OF_SQL),
-    "config_asof_bucketed": (_as_of(0), _AS_OF_SQL),
+    "config_asof": (_as_of(data_driven.SLICE_SECONDS), _AS_OF_SQL),
+    "config_asof_bucketed": (_as_of(60), _AS_OF_SQL),
+    "config_asof_untimed": (
+        _as_of(data_driven.SLICE_SECONDS, untimed=True),
+        _AS_OF_SQL.replace(
+            "SELECT event_id, ts, event_type AS sensor, j.job_id",
+            "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE TIMESTAMP '9999-01-01' END AS ts, "
+            "event_type AS sensor, j.job_id",
+        ),
+    ),
     "config_asof_results": (
         _changing_results,
         "SELECT v.job_id, 'passthrough' AS result_kind, e.value AS measurement, e.event_id FROM events e "

@@ -36,17 +36,4 @@ RANGES = {
     "noise": (30.0, 80.0),
 }
 
-QUALITY_LABELS = ("excellent", "good", "fair", "poor")
-
-ELEMENT_TYPES = (
-    "filter_greater",
-    "filter_less",
-    "filter_cross_field",
-    "normalize",
-    "to_lowercase",
-    "to_uppercase",
-    "trim_whitespace",
-)
-AGGREGATION_TYPES = ("sum", "max", "min", "avg")
-
 DEFAULT_WINDOW_SECONDS = 10

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorflow.functions import scalars
@@ -253,33 +252,3 @@ def config_messages(configs: DataFrame) -> DataFrame:
     return configs.select(
         F.col("jobId").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")
     )
-
-
-def validity_intervals(log: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
-    """Each registration with the span [valid_from, valid_to) in which it is the last one.
-
-    `registered_at` and `seq` order the log. The successor is looked up inside a time
-    bucket first and then among the first entries of later buckets, so that a job that
-    re-registers very often is spread over its buckets instead of one sort.
-    """
-    routed = log.withColumn(
-        "routing_sensor", F.explode(routing_keys(F.col("transformations")))
-    ).withColumn(
-        "bucket", F.floor(F.unix_micros("registered_at") / F.lit(bucket_seconds * 1_000_000))
-    )
-    key = ["routing_sensor", "jobId"]
-    in_bucket = W.partitionBy(*key, "bucket").orderBy("registered_at", "seq")
-    firsts = (
-        routed.groupBy(*key, "bucket")
-        .agg(F.min("registered_at").alias("first_at"))
-        .withColumn("next_at", F.lead("first_at").over(W.partitionBy(*key).orderBy("bucket")))
-        .drop("first_at")
-    )
-    return (
-        routed.withColumn("successor_at", F.lead("registered_at").over(in_bucket))
-        .join(firsts, [*key, "bucket"])
-        .withColumn("valid_from", F.col("registered_at"))
-        .withColumn("valid_to", F.coalesce("successor_at", "next_at"))
-        .where("valid_to IS NULL OR valid_from < valid_to")
-        .drop("successor_at", "next_at", "bucket")
-    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorflow.functions.once import computed_once
@@ -20,9 +20,8 @@ from sensorflow.schemas import CLEANABLE_FIELDS, EVENT_COLUMNS
 # A config table up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
-BUCKET_SECONDS = 3600
-# Versions of one sensor's jobs that an event may be compared with one by one.
-PROBED_VERSIONS = 64
+SLICE_SECONDS = 3600
+SLICE_SALTS = 4
 
 
 def serialized_bytes(df: DataFrame) -> int:
@@ -63,48 +62,75 @@ def join_configs(
 
 
 def join_configs_as_of(
-    events: DataFrame,
-    log: DataFrame,
-    at: str = "event_ts",
-    broadcast_bytes: int = BROADCAST_BYTES,
-    bucket_seconds: int = BUCKET_SECONDS,
+    events: DataFrame, log: DataFrame, at: str = "event_ts", slice_seconds: int = SLICE_SECONDS, salts: int = SLICE_SALTS
 ) -> DataFrame:
     """Pair each event with the configs that were the latest ones at its time `at`.
 
-    `log` holds every registration with `registered_at` and `seq`. A log that is small, and
-    short for every sensor, is broadcast and probed by sensor. Any other is cut at time
-    buckets, so that an event only meets the versions alive in its own (sensor, bucket);
-    busy sensors are spread over their buckets by the same key.
+    `log` holds every registration with `registered_at` and `seq`. Events and registrations
+    of a (sensor, job) are put in one row of time, and each event takes the last
+    registration before or at it. No such row is sorted whole: it is cut into time slices,
+    and a slice into salts. Into each slice that has events comes the last registration of
+    the slices before it, and every salt has a copy of the registrations of its slice. So
+    the work grows with events, registrations and jobs per sensor, whatever their density
+    or how far in the future one of them lies. An event without a time is later than all
+    registrations.
     """
-    spans = configs.prepared(configs.validity_intervals(log))
-    alive = (F.col(at) >= F.col("valid_from")) & (
-        F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))
+    width = slice_seconds * 1_000_000
+    # The last microsecond a timestamp column can hold stands for no time.
+    end = F.lit(9_223_372_036_854_775_807)
+
+    def slice_of(micros: Column) -> Column:
+        return F.floor(micros / F.lit(width)).cast("long")
+
+    columns = events.columns
+    moved = events.select(
+        F.col("sensor").alias("routing_sensor"),
+        F.coalesce(F.unix_micros(at), end).alias("micros"),
+        F.pmod(F.xxhash64("arrival_seq", "datetime", "location", "measurement"), F.lit(salts)).cast("int").alias("salt"),
+        F.struct(*columns).alias("event"),
+    ).withColumn("slice", slice_of(F.col("micros")))
+    versions = configs.prepared(log, carry=("registered_at", "seq")).where(F.col("registered_at").isNotNull())
+    kept = [c for c in versions.columns if c not in ("registered_at", "seq")]
+    versions = versions.select(
+        "routing_sensor",
+        "cfg_job_id",
+        F.unix_micros("registered_at").alias("micros"),
+        "seq",
+        F.struct(*kept).alias("cfg"),
+    ).withColumn("slice", slice_of(F.col("micros")))
+    jobs = versions.select("routing_sensor", "cfg_job_id").distinct()
+    key = ["routing_sensor", "cfg_job_id"]
+
+    # What each slice with events finds: the last registration of the slices before it.
+    ends = versions.groupBy(*key, "slice").agg(F.max_by("cfg", F.struct("micros", "seq")).alias("cfg"))
+    asked = moved.select("routing_sensor", "slice").distinct().join(jobs, "routing_sensor")
+    timeline = (
+        ends.select(*key, "slice", "cfg", F.lit(False).alias("asked"))
+        .unionByName(asked.select(*key, "slice", F.lit(None).cast(ends.schema["cfg"].dataType).alias("cfg"), F.lit(True).alias("asked")))
+        .groupBy(*key, "slice")
+        .agg(F.any_value("cfg", True).alias("cfg"), F.bool_or("asked").alias("asked"))
+    )
+    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        timeline.withColumn("cfg", F.last("cfg", ignorenulls=True).over(before))
+        .where(F.col("asked") & F.col("cfg").isNotNull())
+        .select(*key, "slice", F.lit(-end).alias("micros"), F.lit(None).cast("long").alias("seq"), "cfg")
+    )
+    known = carried.unionByName(versions.select(carried.columns)).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    met = moved.join(jobs, "routing_sensor").select(
+        *key, "slice", "salt", "micros", F.lit(None).cast("long").alias("seq"), "event",
+        F.lit(None).cast(ends.schema["cfg"].dataType).alias("cfg"),
     )
-    versions = log.groupBy(configs.routing_key(F.col("transformations"))).count()
-    most = versions.agg(F.max("count").alias("n")).first()["n"] or 0
-    if most <= PROBED_VERSIONS and serialized_bytes(spans) <= broadcast_bytes:
-        joined = events.join(F.broadcast(spans), (F.col("sensor") == F.col("routing_sensor")) & alive)
-        return joined.drop("valid_from", "valid_to")
-
-    width = bucket_seconds * 1_000_000
-
-    def bucket(ts: str) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(width))
-
-    ends = events.agg(F.min(at).alias("first_at"), F.max(at).alias("last_at")).first()
-    if ends["first_at"] is None:
-        return events.join(spans, F.lit(False)).drop("valid_from", "valid_to")
-    first_at, last_at = F.lit(ends["first_at"]), F.lit(ends["last_at"])
-    cut = (
-        spans.withColumn("span_start", F.greatest("valid_from", first_at))
-        .withColumn("span_end", F.least(F.coalesce("valid_to", last_at), last_at))
-        .where("span_start <= span_end")
-        .withColumn("bucket", F.explode(F.sequence(bucket("span_start"), bucket("span_end"))))
-        .drop("span_start", "span_end")
+    line = known.withColumn("event", F.lit(None).cast(moved.schema["event"].dataType)).unionByName(met)
+    # A registration comes before an event of the same time.
+    so_far = Window.partitionBy(*key, "slice", "salt").orderBy("micros", F.col("event").isNotNull(), "seq")
+    return (
+        line.withColumn("cfg", F.last("cfg", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+        .where(F.col("event").isNotNull() & F.col("cfg").isNotNull())
+        .select("event.*", "cfg.*")
     )
-    timed = events.withColumn("event_bucket", bucket(at))
-    on = (F.col("sensor") == F.col("routing_sensor")) & (F.col("event_bucket") == F.col("bucket"))
-    return timed.join(cut, on & alive).drop("event_bucket", "bucket", "valid_from", "valid_to")
 
 
 def _params(t: Column) -> StructParams:
@@ -223,9 +249,10 @@ def run_as_of(
     seconds: int = DEFAULT_WINDOW_SECONDS,
     at: str = "event_ts",
     broadcast_bytes: int = BROADCAST_BYTES,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """All result rows, each event under the configs in force at its time."""
-    joined = join_configs_as_of(events, log, at, broadcast_bytes)
+    joined = join_configs_as_of(events, log, at, slice_seconds)
     inputs, direct = outputs_of(joined)
     windowed = aggregates.aggregate_windows(inputs, seconds)
     return with_steps(windowed, configs.prepared(log), broadcast_bytes).unionByName(direct)

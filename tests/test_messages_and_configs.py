@@ -132,7 +132,7 @@ def registered(spark, rows):
     return df.select("jobId", steps.alias("transformations"), "seq", at.alias("registered_at"))
 
 
-def test_as_of_join_both_ways(spark):
+def test_as_of_join_in_any_slices(spark):
     log = registered(spark, [("a", 10.0, 1, 1.0), ("a", 20.0, 2, 2.0), ("a", 20.0, 3, 3.0), ("b", 5.0, 4, 4.0), ("a", 90000.0, 5, 5.0)])
     times = [0, 5, 10, 19.5, 20, 89999, 90000, 200000]
     events = frame(spark, [event("t", 9.0, at=s) for s in times] + [event("u", 9.0, at=50)])
@@ -145,8 +145,8 @@ def test_as_of_join_both_ways(spark):
         6: {("a", 5.0), ("b", 4.0)},
         7: {("a", 5.0), ("b", 4.0)},
     }
-    for limit in (1 << 20, 0):
-        pairs = data_driven.join_configs_as_of(events, log, broadcast_bytes=limit)
+    for seconds in (1, 15, 3600, 10**7):
+        pairs = data_driven.join_configs_as_of(events, log, slice_seconds=seconds)
         got = {}
         for r in pairs.select("arrival_seq", "cfg_job_id", "cfg_steps").collect():
             got.setdefault(r[0], set()).add((r[1], float(r[2][0]["params"]["threshold"])))
