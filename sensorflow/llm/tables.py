@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import pickle
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -29,13 +30,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 def in_workers(function: Callable, **settings) -> Callable:
     """A function for mapInArrow that imports its module where it runs.
 
-    Module-level caches of the worker then last from task to task.
+    Module-level caches of the worker then last from task to task. Settings are unpacked
+    only there too, since they may be of the package's own types.
     """
-    module, name, root = function.__module__, function.__name__, ROOT
+    module, name, root, packed = function.__module__, function.__name__, ROOT, pickle.dumps(settings)
 
     def run(batches):
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, **settings)
+        return getattr(importlib.import_module(module), name)(batches, **pickle.loads(packed))
 
     return run
