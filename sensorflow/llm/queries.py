@@ -11,6 +11,7 @@ from sensorflow.llm import (
     byte_bpe,
     exact_dedup,
     ngram_join,
+    oracles,
     packing,
     personal_data,
     quality_rules,
@@ -68,7 +69,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "archives")
     archives.write(_table(spark, sf_dir, "pages"), folder)
-    return archives.read(spark, folder, with_payload=False).drop("payload")
+    return archives.read(spark, folder, with_payload=False).drop("payload", "target")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +98,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
