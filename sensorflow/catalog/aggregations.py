@@ -21,7 +21,7 @@ from sensorflow.catalog.common import (
     windowed,
     windowed_sql,
 )
-from sensorflow.operators import configs
+from sensorflow.operators import aggregates, configs, steps
 from sensorflow.plans import compiled, data_driven
 from sensorflow.plans.job import Job, jobs_frame, load_jobs
 
@@ -193,6 +193,53 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_EACH_KIND = job("each-kind", *[aggregation(k, sensor="click") for k in ("sum", "max", "min", "avg")])
+
+
+def _with_nans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh measurement is no number: extremes pass it by, sums and means carry it."""
+    spoilt = F.when(F.col("arrival_seq") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("measurement"))
+    e = events(spark, sf_dir).withColumn("measurement", spoilt)
+    r = F.col("result_double")
+    return compiled.run_jobs(e, [_EACH_KIND], HOUR).select(
+        "aggregation_type",
+        "grouping_key",
+        F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        F.isnan(r).alias("is_nan"),
+        F.when(F.col("aggregation_type").isin("max", "min"), r).alias("extreme"),
+    )
+
+
+_WITH_NANS_SQL = union_sql(
+    *[
+        f"SELECT '{kind}' AS aggregation_type, 'room-' || (user_id % 8) AS grouping_key, "
+        "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, "
+        + ("FALSE" if kind in ("max", "min") else "count(*) FILTER (event_id % 11 = 0) > 0")
+        + " AS is_nan, "
+        + (f"coalesce({kind}(value) FILTER (event_id % 11 <> 0), 0.0)" if kind in ("max", "min") else "CAST(NULL AS DOUBLE)")
+        + " AS extreme FROM events WHERE event_type = 'click' GROUP BY user_id % 8, date_trunc('hour', ts)"
+        for kind in ("sum", "max", "min", "avg")
+    ]
+)
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step and an aggregation that a user has added, in one job."""
+    steps.register_step("multiply", lambda row, p: row.having(measurement=row.fields["measurement"] * p.number("by")))
+    aggregates.register_aggregate("span", lambda: F.col("high") - F.col("low"))
+    try:
+        added = job("added", element("multiply", sensor="view", by=2), aggregation("span", sensor="view"))
+        found = compiled.run_jobs(events(spark, sf_dir), [added], DAY)
+    finally:
+        del steps.STEP_BUILDERS["multiply"], aggregates.AGGREGATES["span"]
+    return found.select(
+        "aggregation_type",
+        "grouping_key",
+        F.date_format("window.start", "yyyy-MM-dd").alias("day"),
+        F.round("result_double", 6).alias("span"),
+    )
+
+
 _UNION_SQL = union_sql(
     "SELECT job_id, 'aggregate' AS result_kind, count(*) AS n, round(sum(result_double), 6) AS total FROM ("
     + windowed_sql("hourly-max", "max", "sensor = 'click' AND measurement > 5", bucket="1 day")
@@ -256,6 +303,12 @@ QUERIES = {
     "multi_job_join": (_pairs(data_driven.BROADCAST_BYTES), _PAIRS_SQL),
     "multi_job_join_shuffled": (_pairs(0), _PAIRS_SQL),
     "union_results": (_union, _UNION_SQL),
+    "agg_with_nans": (_with_nans, _WITH_NANS_SQL),
+    "registered_step_and_aggregate": (
+        _registered,
+        "SELECT 'span' AS aggregation_type, 'room-' || (user_id % 8) AS grouping_key, strftime(ts, '%Y-%m-%d') AS day, "
+        "round(max(value * 2) - min(value * 2), 6) AS span FROM events WHERE event_type = 'view' GROUP BY 2, 3",
+    ),
     "compiled_all_jobs": (_all_compiled, ALL_JOBS_SQL),
     "data_driven_all_jobs": (_all_data_driven, ALL_JOBS_SQL),
 }

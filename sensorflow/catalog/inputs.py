@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorflow.catalog.common import events, source
+from sensorflow.catalog.configurations import activity, registrations
 from sensorflow.functions import scalars
-from sensorflow.session import use_utc
+from sensorflow.session import use_utc, work_dir
 from sensorflow.sinks import documents
 from sensorflow.sources import messages
 
@@ -50,6 +51,39 @@ def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.col("arrival_seq").alias("event_id"), "reason")
 
 
+def _config_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config document per activity row; every fifth is cut short."""
+    rows = registrations(activity(spark, sf_dir))
+    text = F.to_json(F.struct("jobId", "transformations"))
+    return rows.select(
+        F.when(F.col("seq") % 5 == 0, F.substring(text, 1, 30)).otherwise(text).alias("text"), "seq"
+    )
+
+
+def _parsed_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _config_texts(spark, sf_dir)
+    read = messages.parse_configs(texts.select(F.encode("text", "utf-8").alias("value"), "seq"))
+    return read.select(
+        F.col("seq").alias("event_id"),
+        F.when(F.col("reason").isNull(), F.col("jobId")).alias("job_id"),
+        F.when(F.col("reason").isNull(), F.col("transformations")[0]["params"]["threshold"].try_cast("double")).alias("threshold"),
+        "reason",
+    )
+
+
+def _job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first registration of each sensor, written as a file of its own and read back."""
+    rows = registrations(activity(spark, sf_dir)).withColumn("sensor", F.col("transformations")[0]["params"]["sensor"])
+    first = rows.groupBy("sensor").agg(F.min_by(F.struct("jobId", "transformations"), "seq").alias("c"))
+    folder = work_dir(spark, "job-files")
+    first.select(F.to_json("c").alias("value"), F.col("sensor").alias("file")).write.partitionBy("file").text(folder)
+    return messages.read_job_files(spark, folder).select(
+        F.col("jobId").alias("job_id"),
+        F.col("transformations")[0]["params"]["sensor"].alias("sensor"),
+        F.col("transformations")[0]["params"]["threshold"].try_cast("double").alias("threshold"),
+    )
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = use_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
     dirty = F.concat(F.encode("event_type", "utf-8"), F.unhex(F.lit("FF")), F.encode("props", "utf-8"))
@@ -93,6 +127,17 @@ QUERIES = {
         "SELECT event_id, CASE event_id % 10 WHEN 2 THEN 'null_measurement' WHEN 3 THEN 'missing_sensor' "
         "ELSE 'corrupt' END AS reason FROM events WHERE event_id % 10 IN (0, 1, 2, 3, 4, 6)",
     ),
+    "parse_configs": (
+        _parsed_configs,
+        "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'job-' || (user_id % 4) END AS job_id, "
+        "CASE WHEN event_id % 5 <> 0 THEN value END AS threshold, "
+        "CASE WHEN event_id % 5 = 0 THEN 'corrupt' END AS reason FROM events",
+    ),
+    "job_files": (
+        _job_files,
+        "SELECT 'job-' || (arg_min(user_id, event_id) % 4) AS job_id, event_type AS sensor, "
+        "arg_min(value, event_id) AS threshold FROM events GROUP BY event_type",
+    ),
     "decode_utf8": (
         _decoded,
         "SELECT event_id, event_type || chr(65533) || props AS decoded FROM events",

@@ -34,12 +34,15 @@ def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches written, the second one twice, then the newest row per id read back."""
+    """Three batches, the first compacted, the second replayed, the third replayed as empty."""
     output = work_dir(spark, "latest-results")
     results = _results(spark, sf_dir)
     store.write_batch(results.where("result_kind = 'passthrough'"), 0, output)
+    store.compact(spark, output, 0)
     store.write_batch(results, 1, output)
     store.write_batch(results, 1, output)
+    store.write_batch(results, 2, output)
+    store.write_batch(results.where("false"), 2, output)
     return store.latest(spark, output).select(
         "collection",
         "job_id",

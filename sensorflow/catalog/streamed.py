@@ -23,6 +23,7 @@ from sensorflow.plans.job import jobs_frame
 from sensorflow.schemas import EVENT_COLUMNS
 from sensorflow.session import STATE_STORE, use_utc, work_dir
 from sensorflow.sinks import store
+from sensorflow.sources import messages
 from sensorflow.sources.tables import activity_columns
 from sensorflow.streaming import start
 
@@ -46,9 +47,11 @@ def _stream_settings(spark: SparkSession):
 
 
 def activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = use_utc(spark).read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(sf_dir)
+    """The activity table as a stream, whether it is one file or a folder of part files."""
+    path = f"{sf_dir}/events.parquet"
+    schema = use_utc(spark).read.parquet(path).schema
+    # As a pattern, for a plain path of a stream must be a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path[:-1] + "[t]")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over event time; updates of a window replace each other in the store."""
     output = work_dir(spark, "event-time")
-    results = start.fixed_job_results(event_stream(spark, sf_dir), [MAX_BY_LOCATION], HOUR)
+    results = start.fixed_job_results(
+        event_stream(spark, sf_dir), [MAX_BY_LOCATION], HOUR, event_time=True
+    )
     with _stream_settings(spark):
         query = start.start(
             results, f"{output}/store", f"{output}/checkpoint", "update", availableNow=True
@@ -73,6 +78,22 @@ def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(newest.select("_id", "window", "r.*"))
 
 
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the stream that don't parse, kept by reason."""
+    output = work_dir(spark, "refused")
+    rows = activity_stream(spark, sf_dir)
+    value = F.when(F.col("event_id") % 3 == 0, "{broken").when(
+        F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("sensor"), F.lit(None).cast("double").alias("measurement")), {"ignoreNullFields": "false"})
+    ).otherwise(F.to_json(F.struct(F.col("event_type").alias("sensor"), F.col("value").alias("measurement"))))
+    texts = rows.select(
+        F.encode(value, "utf-8").alias("value"), F.col("event_id").alias("arrival_seq"), F.col("ts").cast("timestamp").alias("arrival_ts")
+    )
+    query = start.start_quarantine(messages.parse_events(texts), output, f"{output}/checkpoint", availableNow=True)
+    query.awaitTermination()
+    kept = spark.read.schema("raw string, arrival_seq long, reason string").parquet(f"{output}/quarantine")
+    return kept.select(F.col("arrival_seq").alias("event_id"), "reason")
+
+
 _LIVE = [
     job("live-high", element("filter_greater", sensor="click", threshold=75)),
     job("live-low", element("filter_less", sensor="view", threshold=5), aggregation("max", sensor="click")),
@@ -119,10 +140,12 @@ def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over the clock. Where windows cut depends on the run, the maximum over them does not."""
     output = work_dir(spark, "clock")
     results = start.fixed_job_results(
-        event_stream(spark, sf_dir), [_CLOCK], CLOCK_SECONDS, delay=None
+        event_stream(spark, sf_dir), [_CLOCK], CLOCK_SECONDS
     )
     with _stream_settings(spark):
-        query = start.start(results, f"{output}/store", f"{output}/checkpoint")
+        query = start.start(
+            results, f"{output}/store", f"{output}/checkpoint", processingTime="1 second"
+        )
     start.drain(query, CLOCK_SECONDS)
     written = store.history(spark, f"{output}/store")
     return written.groupBy("job_id", "grouping_key", "aggregation_type").agg(
@@ -131,6 +154,11 @@ def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "stream_quarantine": (
+        _refused,
+        "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'corrupt' ELSE 'null_measurement' END AS reason "
+        "FROM events WHERE event_id % 3 < 2",
+    ),
     "stream_event_time": (
         _event_time,
         windowed_sql("hourly-max", "max", "sensor = 'click' AND measurement > 5"),

@@ -21,8 +21,10 @@ from sensorflow.operators.steps import (
 )
 from sensorflow.schemas import EVENT_FIELDS, RESULT, STEPS
 
+# The texts that clients are answered with. Those of refusals stand in `rejection`.
 ACK_MESSAGE = "Configuration registered successfully"
 
+
 def _listed(steps: Column) -> Column:
     return F.coalesce(steps, F.array().cast(STEPS))
 
@@ -70,7 +72,7 @@ def steps_hash(steps: Column) -> Column:
 
 
 def rejection(job_id: Column, steps: Column) -> Column:
-    """Why a config is refused, or null where it is sound."""
+    """Why a config is refused, or null where it is sound. The texts are fixed values."""
     listed = _listed(steps)
     known = [*STEP_BUILDERS, *AGGREGATES]
     unknown = F.filter(listed, lambda t: ~F.coalesce(t["type"].isin(*known), F.lit(False)))

@@ -6,6 +6,7 @@ replayed after a lost executor or a restart replaces what it wrote before.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,8 +69,7 @@ def write_batch(results: DataFrame, batch_id: int, output: str) -> None:
         .parquet(history)
     )
     written = spark.read.schema(STORED).parquet(history)
-    if written.isEmpty():  # an idle stream still runs batches
-        return
+    # An empty batch is written too: it may replay one whose rows must not stay.
     (
         newest(written)
         .select(*STORED.fieldNames())
@@ -87,15 +87,49 @@ def history(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.schema(_PARTITIONED).parquet(f"{output}/history").drop("batch")
 
 
+def _compacted(spark: SparkSession, output: str) -> tuple[DataFrame | None, int]:
+    """The last compacted table and the batch it reaches to; none before the first."""
+    schema = T.StructType([*STORED.fields, T.StructField("upto", T.LongType())])
+    try:
+        base = spark.read.schema(schema).parquet(f"{output}/base")
+    except AnalysisException:
+        return None, -1
+    upto = base.agg(F.max("upto")).first()[0]
+    return (None, -1) if upto is None else (base.where(F.col("upto") == upto).drop("upto"), upto)
+
+
 def latest(spark: SparkSession, output: str) -> DataFrame:
-    """The newest row per id. Reading one collection prunes to its folders."""
-    return newest(spark.read.schema(_PARTITIONED).parquet(f"{output}/latest").drop("batch"))
+    """The newest row per id, from the compacted table and the batches after it.
+
+    Reading one collection prunes to its folders.
+    """
+    base, upto = _compacted(spark, output)
+    recent = spark.read.schema(_PARTITIONED).parquet(f"{output}/latest")
+    recent = recent.where(F.col("batch") > upto).drop("batch")
+    return newest(recent if base is None else base.unionByName(recent))
+
+
+def compact(spark: SparkSession, output: str, upto: int) -> None:
+    """Write the newest row per id of all batches up to `upto` as one table.
+
+    Run it between batches. A reader takes the table that reaches furthest; writing one
+    again gives the same rows. Files of the batches it holds may then be deleted.
+    """
+    base, before = _compacted(spark, output)
+    if before >= upto:
+        return
+    batches = spark.read.schema(_PARTITIONED).parquet(f"{output}/latest")
+    batches = batches.where(F.col("batch").between(before + 1, upto)).drop("batch")
+    rows = newest(batches if base is None else base.unionByName(batches)).select(*STORED.fieldNames())
+    rows.write.mode("overwrite").partitionBy("collection").parquet(f"{output}/base/upto={upto}")
 
 
-def upsert_writer(output: str):
-    """A function for `foreachBatch`."""
+def upsert_writer(output: str, compact_every: int = 50):
+    """A function for `foreachBatch`; every `compact_every` batches the earlier ones are compacted."""
 
     def write(results: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            compact(results.sparkSession, output, batch_id - 1)
         write_batch(results, batch_id, output)
 
     return write

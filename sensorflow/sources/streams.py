@@ -72,8 +72,8 @@ def event_options(s: Settings) -> dict[str, str]:
 
 
 def _topic(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
-    # Offsets order a partition; the low bits tell partitions apart.
-    seq = F.col("offset") * F.lit(1024) + F.col("partition")
+    # Offsets order a partition; the low 20 bits tell partitions apart.
+    seq = F.col("offset") * F.lit(1 << 20) + F.col("partition")
     return (
         spark.readStream.format("kafka")
         .options(**options)
@@ -83,7 +83,7 @@ def _topic(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
 
 
 def _folder(spark: SparkSession, path: str, options: Mapping[str, str]) -> DataFrame:
-    # Lines have no sequence of their own: order them by file time, then place in the file.
+    # Lines have no sequence of their own; files are ordered by their time.
     return (
         spark.readStream.format("text")
         .options(**options)

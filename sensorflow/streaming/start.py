@@ -35,20 +35,26 @@ def fixed_job_results(
     events: DataFrame,
     jobs: Sequence[Job],
     seconds: int = DEFAULT_WINDOW_SECONDS,
-    delay: str | None = "0 seconds",
+    event_time: bool = False,
+    delay: str | None = None,
 ) -> DataFrame:
     """Result stream of jobs known at start.
 
-    With a `delay`, windows are over event time and rows later than that are dropped by the
-    watermark. With None they are over the clock and closed by timers.
+    Windows are over the clock and closed by timers, or with `event_time` over the time of
+    the events. Then no row is ever late: a window stays open, and each batch writes its
+    new state, in update mode. Only a `delay` closes windows, and rows that come later than
+    it are left out.
     """
+    event_time = event_time or delay is not None
+    if event_time:
+        events = timed(events)
     if delay is not None:
-        events = timed(events).withWatermark("event_ts", delay)
+        events = events.withWatermark("event_ts", delay)
     inputs, direct = compiled.jobs_outputs(events, jobs)
-    if delay is None:
-        acc = clock_windows(inputs, seconds)
-    else:
+    if event_time:
         acc = event_time_windows(inputs, seconds)
+    else:
+        acc = clock_windows(inputs, seconds)
     windowed = aggregates.finish(acc).withColumn("transformations", compiled.steps_of(jobs))
     return windowed.unionByName(direct)
 
@@ -85,7 +91,7 @@ def start(
         results.select(*RESULT_COLUMNS)
         .writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .trigger(**(trigger or {"processingTime": CHECKPOINT_INTERVAL}))
         .foreachBatch(upsert_writer(output))
         .start()
     )
@@ -104,6 +110,26 @@ def start_quarantine(parsed: DataFrame, output: str, checkpoint: str, **trigger)
     )
 
 
+def start_refused(
+    spark: SparkSession, settings: streams.Settings, **trigger
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Keep what `start_live_jobs` leaves out: refused events, and refused configs, by reason."""
+    parsed = messages.parse_events(streams.event_messages(use_utc(spark), settings))
+    events = start_quarantine(parsed, settings.output, f"{settings.checkpoint}/refused-events", **trigger)
+    read = messages.parse_configs(streams.config_messages(spark, settings))
+    reason = F.coalesce("reason", configs.rejection(F.col("jobId"), F.col("transformations")))
+    refused = read.withColumn("reason", reason).where("reason IS NOT NULL")
+    rejected = (
+        refused.select("raw", "reason", "arrival_seq")
+        .writeStream.format("parquet")
+        .option("path", f"{settings.output}/refused_configs")
+        .option("checkpointLocation", f"{settings.checkpoint}/refused-configs")
+        .trigger(**(trigger or {"processingTime": CHECKPOINT_INTERVAL}))
+        .start()
+    )
+    return events, rejected
+
+
 def start_live_jobs(
     spark: SparkSession,
     settings: streams.Settings,
@@ -112,7 +138,10 @@ def start_live_jobs(
     delay: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """The full service: configs and events from their topics or folders, results to the store."""
+    """The full service: configs and events from their topics or folders, results to the store.
+
+    Refused messages are kept by `start_refused`.
+    """
     use_utc(spark).conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     parsed = messages.parse_events(streams.event_messages(spark, settings))
     read = messages.parse_configs(streams.config_messages(spark, settings))
@@ -123,16 +152,15 @@ def start_live_jobs(
     return start(results, settings.output, settings.checkpoint, **trigger)
 
 
-def drain(query: StreamingQuery, seconds: int, timeout: float = 600.0) -> None:
+def drain(query: StreamingQuery, seconds: int) -> None:
     """Let a stream with clock windows take its present input and close its windows, then stop it.
 
     Windows close while nothing arrives, so the query is left running until a batch without
-    input has started later than the last window can end.
+    input has started later than the last window can end, however long the input takes.
     """
-    deadline = time.monotonic() + timeout
     last_input = None
     try:
-        while time.monotonic() < deadline:
+        while True:
             if query.exception() is not None:
                 raise query.exception()
             for p in query.recentProgress:
@@ -142,7 +170,6 @@ def drain(query: StreamingQuery, seconds: int, timeout: float = 600.0) -> None:
                 elif last_input is not None and at > last_input + 2 * seconds + 1:
                     return
             time.sleep(0.5)
-        raise TimeoutError("the stream did not close its windows in time")
     finally:
         stop_between_batches(query)
 

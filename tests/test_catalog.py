@@ -6,6 +6,7 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from sensorflow import catalog
 
 duckdb = pytest.importorskip("duckdb")
 SMALL = TESTDATA / "sf0.001"
@@ -20,6 +21,11 @@ CHECKED = (
     "multi_job_join_shuffled",
     "config_validate",
     "config_asof_bucketed",
+    "config_asof_untimed",
+    "parse_configs",
+    "agg_with_nans",
+    "registered_step_and_aggregate",
+    "latest_results",
     "parse_quarantine",
     "result_identity",
     "quality_label",
@@ -33,7 +39,8 @@ def text(v):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.all_queries()) == set(catalog.all_sql())
+    assert set(catalog.all_queries()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", CHECKED)
