@@ -78,10 +78,11 @@ def near_copies():
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 60)])
-@pytest.mark.parametrize(("cell", "group"), [(256, 1024), (4, 3)])
-def test_ngram_join(spark, monkeypatch, size, percent, cell, group):
+@pytest.mark.parametrize(("cell", "group", "whole"), [(256, 8192, 32768), (4, 3, 9), (4, 20, 30)])
+def test_ngram_join(spark, monkeypatch, size, percent, cell, group, whole):
     monkeypatch.setattr(ngram_join, "CELL", cell)
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "WHOLE", whole)
     texts = S.nasty() + near_copies() + ["a b c d e f g h i j", "a b c d e f g h i"]
     rows = ngram_join.grouped(S.clashing(S.documents(spark, texts)), size, percent).collect()
     expected = S.near_groups(dict(enumerate(texts)), size, percent)
