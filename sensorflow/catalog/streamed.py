@@ -132,12 +132,16 @@ _CLOCK = job(
     "clock-max",
     element("filter_greater", sensor="click", threshold=5.0),
     aggregation("max", sensor="click", field="measurement"),
+    aggregation("sum", sensor="click", field="measurement"),
 )
 CLOCK_SECONDS = 2
 
 
 def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows over the clock. Where windows cut depends on the run, the maximum over them does not."""
+    """Windows over the clock. Where they cut depends on the run; their maximum and their sum do not.
+
+    The sum over all windows shows that every row is in one of them, and in one only.
+    """
     output = work_dir(spark, "clock")
     results = start.fixed_job_results(
         event_stream(spark, sf_dir), [_CLOCK], CLOCK_SECONDS
@@ -148,8 +152,9 @@ def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     start.drain(query, CLOCK_SECONDS)
     written = store.history(spark, f"{output}/store")
+    total = F.when(F.col("aggregation_type") == "sum", F.round(F.sum("result_double"), 4))
     return written.groupBy("job_id", "grouping_key", "aggregation_type").agg(
-        F.max("result_double").alias("result_double"), F.min("seq").alias("first_event_id")
+        total.otherwise(F.max("result_double")).alias("result_double"), F.min("seq").alias("first_event_id")
     )
 
 
@@ -174,9 +179,10 @@ QUERIES = {
     ),
     "stream_processing_time": (
         _clock,
-        "SELECT 'clock-max' AS job_id, location AS grouping_key, 'max' AS aggregation_type, "
-        "max(measurement) AS result_double, min(event_id) AS first_event_id FROM "
+        "SELECT 'clock-max' AS job_id, location AS grouping_key, kind AS aggregation_type, "
+        "CASE kind WHEN 'sum' THEN round(sum(measurement), 4) ELSE max(measurement) END AS result_double, "
+        "min(event_id) AS first_event_id FROM "
         "(SELECT 'room-' || (user_id % 8) AS location, value AS measurement, event_id FROM events "
-        "WHERE event_type = 'click' AND value > 5) GROUP BY location",
+        "WHERE event_type = 'click' AND value > 5), (VALUES ('max'), ('sum')) AS k(kind) GROUP BY location, kind",
     ),
 }
