@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,29 @@ def test_ngram_join(spark, monkeypatch, size, percent, cell, group, whole):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected and len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("part", [1, 3, 32])
+def test_prefix_tree_finds_all_alike(monkeypatch, part):
+    monkeypatch.setattr(ngram_join, "PART", part)
+    rng, likeness = random.Random(part), ngram_join.Likeness(3, 80)
+    for _ in range(40):
+        bases = [rng.sample(range(1, 400), rng.randint(1, 90)) for _ in range(3)]
+        sets = set()
+        for _ in range(rng.randint(1, 40)):
+            base = rng.choice(bases)
+            some = rng.sample(base, max(1, len(base) - rng.randint(0, 8)))
+            sets.add(tuple(sorted({*some, *rng.sample(range(500, 9000), rng.randint(0, 4))})))
+        sets = [np.array(s, dtype=np.uint64) * np.uint64(2**50 + 1) for s in sorted(sets)]
+        tree = ngram_join.Tree(sets)
+        found = zip(*ngram_join.probe(tree, sets, likeness))
+        alike = {
+            (i, k)
+            for i, a in enumerate(sets)
+            for k, leaf in enumerate(tree.order)
+            if 100 * len(np.intersect1d(a, sets[leaf])) >= 80 * len(np.union1d(a, sets[leaf]))
+        }
+        assert {(int(i), int(k)) for i, k in found} == alike
+
+
 def test_ngram_join_keeps_one_of_each_group(spark):
     texts = near_copies()
     docs = S.clashing(S.documents(spark, [*texts, (None, texts[0]), (0, texts[0])]))
