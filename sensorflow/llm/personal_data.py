@@ -30,6 +30,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 UNSEEN = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9_/-]*+"
 LEAST_DIGITS = 6
+#: Code points of a pattern that is kept as it is; a longer one is kept as a digest.
+LONG = 200
 
 
 def luhn(number: Column) -> Column:
@@ -60,24 +62,30 @@ def _good_card(hit: Column) -> Column:
 def seeds(text: Column) -> Column:
     """All base spans, by kind as in KINDS and then by place."""
     return F.concat(
-        matches(text, 0, EMAIL, lambda hit: hit.isNotNull(), text.contains("@")),
-        matches(text, 1, IP, _good_ip),
-        matches(text, 2, CARD, _good_card, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")),
-        matches(text, 3, PHONE, lambda hit: F.length(digits(hit)).between(8, 15), text.contains("+")),
+        matches(text, 0, EMAIL, lambda hit: hit.isNotNull(), text.contains("@"), pattern_of),
+        matches(text, 1, IP, _good_ip, context=pattern_of),
+        matches(text, 2, CARD, _good_card, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), pattern_of),
+        matches(text, 3, PHONE, lambda hit: F.length(digits(hit)).between(8, 15), text.contains("+"), pattern_of),
     )
 
 
 def unseen(text: Column) -> Column:
     """Identifier-like runs of no fixed form."""
     return matches(
-        text, 0, UNSEEN, lambda hit: F.length(digits(hit)) >= LEAST_DIGITS, text.rlike("[0-9]")
+        text, 0, UNSEEN, lambda hit: F.length(digits(hit)) >= LEAST_DIGITS, text.rlike("[0-9]"), pattern_of
     )
 
 
 def pattern_of(before: Column) -> Column:
-    """The last two words before a span, in lower case and with digits masked; else empty."""
-    words = F.regexp_extract(F.lower(before), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    return F.regexp_replace(F.regexp_replace(words, "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+    """The last two words before a span, in lower case and with digits masked; else empty.
+
+    `before` has single blanks. Words beyond LONG stand as their digest, so that a text
+    without blanks does not hold its own beginning once for every match.
+    """
+    words = F.substring_index(F.rtrim(before), " ", -2)
+    masked = F.regexp_replace(F.lower(words), "[0-9]+", "0")
+    whole = F.when(F.length(masked) > LONG, F.sha2(masked, 256)).otherwise(masked)
+    return F.when(F.ltrim(words).contains(" "), whole).otherwise("")
 
 
 def confident_patterns(
@@ -130,12 +138,12 @@ def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: flo
         "personal",
     )
     seen = found.select(F.explode("base").alias("s")).select(
-        pattern_of(F.col("s.before")).alias("pattern"), F.col("s.hit").alias("instance"), "s.kind"
+        F.col("s.before").alias("pattern"), F.col("s.hit").alias("instance"), "s.kind"
     )
     places = written(
         found.select("row", F.filter("others", lambda s: apart(s["start"], s["end"], F.col("base"))).alias("others"))
         .select("row", F.explode("others").alias("s"))
-        .select("row", pattern_of(F.col("s.before")).alias("pattern"), F.col("s.hit").alias("instance"), "s"),
+        .select("row", F.col("s.before").alias("pattern"), F.col("s.hit").alias("instance"), "s"),
         "unseen",
     )
     trusted = confident_patterns(seen, places, rounds, least_seeds, confidence)

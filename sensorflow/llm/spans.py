@@ -13,8 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUND = "array<struct<kind:int,start:int,end:int,hit:string,before:string>>"
-#: Code points before a match that its context is read from.
-CONTEXT = 80
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def clean_text(text: Column) -> Column:
@@ -26,29 +25,43 @@ def digits(text: Column) -> Column:
 
 
 def matches(
-    text: Column, kind: int, pattern: str, keep: Callable[[Column], Column], possible: Column | None = None
+    text: Column,
+    kind: int,
+    pattern: str,
+    keep: Callable[[Column], Column],
+    possible: Column | None = None,
+    context: Callable[[Column], Column] | None = None,
 ) -> Column:
     """The leftmost non-overlapping matches that `keep` accepts, in order.
 
     A match that is not accepted is dropped; nothing inside it is tried again. `possible`
-    is a cheaper condition that holds wherever the pattern matches.
+    is a cheaper condition that holds wherever the pattern matches. `before` is what
+    `context` makes of the end of the text before a match: two whole words at least, if
+    there are so many, with runs of blanks as one. Without `context` it is empty. The
+    words are carried from match to match, so that a text is read once.
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("words"), F.array().cast(FOUND).alias("found"))
+
+    def last_words(state: Column, *pieces: Column) -> Column:
+        return F.substring_index(F.concat(state["words"], *pieces), " ", -3) if context else F.lit("")
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
+        gap = F.regexp_replace(pair["gap"], BLANKS, " ")
         one = F.struct(
             F.lit(kind).alias("kind"),
             begin.alias("start"),
             end.alias("end"),
             pair["hit"].alias("hit"),
-            F.substring(pair["gap"], -CONTEXT, CONTEXT).alias("before"),
+            (context(last_words(state, gap)) if context else F.lit("")).alias("before"),
         )
         found = F.when(keep(pair["hit"]), F.concat(state["found"], F.array(one))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        # The last gap has no match after it.
+        words = F.coalesce(last_words(state, gap, F.regexp_replace(pair["hit"], BLANKS, " ")), F.lit(""))
+        return F.struct(end.alias("at"), words.alias("words"), found.alias("found"))
 
     pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     all_found = F.aggregate(pairs, start, step, lambda state: state["found"])

@@ -173,6 +173,19 @@ def test_personal_data_learns_contexts(spark):
     assert added == {12: [("020-794-6095", "phone")]}
 
 
+def test_context_is_read_from_the_text(spark):
+    numbers = ("+1 222 333 4444", "+44 20 7946 0958", "+49 30 1234567", "+33 1 2345 6789")
+    long = f"{'x' * 70} \n {'y' * 90}:"
+    texts = ["\n".join(f"{i}  phone {n}" for i, n in enumerate(numbers, 17)), "18 phone 020-7946-0958"]
+    texts += [*(f"1 2 {long} {n}" for n in numbers), f"{long} 020-7946-0959", f"z{long} 020-7946-0960"]
+    blob = ",".join(str(n) for n in range(1_000_000, 1_003_000))
+    rows = personal_data.find(S.documents(spark, [*texts, blob, f"a {blob}"])).collect()
+    added = {r.doc_id: [(s.hit, personal_data.KINDS[s.kind]) for s in r.added] for r in rows if r.added}
+    assert added == {1: [("020-7946-0958", "phone")], 6: [("020-7946-0959", "phone")]}
+    found = [s.before for r in rows if r.doc_id == 0 for s in r.base]
+    assert found == ["0 phone"] * 4
+
+
 def test_secrets_base_spans(spark):
     texts = mixed_texts()
     docs = S.clashing(S.documents(spark, texts))
