@@ -2,7 +2,7 @@
 
 E-mail and IP addresses, card and phone numbers of fixed form are the seeds. The two words
 before a match are its lexical pattern. Patterns and the texts they introduce (seeds and
-other identifier-like runs with at least six digits) form a graph. In each round the
+other identifier-like runs, or groups of them, with at least six digits) form a graph. In each round the
 confidence of a pattern for a kind is the mean score of all that it introduces, and the
 score of an unseen text is what its patterns together give it. Confident patterns with
 enough seeds discover what else they introduce. All of it is built-in functions; scores
@@ -29,6 +29,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 UNSEEN = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9_/-]*+"
+GROUPED = UNSEEN + r"(?:[\x20.][0-9][A-Za-z0-9_/-]*+)*+"
 LEAST_DIGITS = 6
 #: Code points of a pattern that is kept as it is; a longer one is kept as a digest.
 LONG = 200
@@ -70,12 +71,35 @@ def seeds(text: Column) -> Column:
 
 
 def unseen(text: Column) -> Column:
-    """Identifier-like runs of no fixed form."""
+    """Identifier-like runs of no fixed form, each by itself."""
     return matches(
         text, 0, UNSEEN, lambda hit: F.length(digits(hit)) >= LEAST_DIGITS, text.rlike("[0-9]"), pattern_of
     )
 
 
+def grouped(text: Column) -> Column:
+    """Runs that single blanks or dots join, of two at least; digits count over all of them."""
+    several = lambda hit: hit.rlike(r"[\x20.]") & (F.length(digits(hit)) >= LEAST_DIGITS)
+    return matches(text, 0, GROUPED, several, text.rlike(r"[\x20.][0-9]"), pattern_of)
+
+
+def candidates(base: Column, alone: Column, joined: Column) -> Column:
+    """Span and place of its run of groups, apart from base spans.
+
+    A run by itself is a candidate beside the groups it is part of, since its own context
+    may be the one that is known; the first of the groups has the same context as all.
+    """
+    free = lambda found: F.filter(found, lambda s: apart(s["start"], s["end"], base))
+    whole = free(joined)
+    around = lambda s: F.get(F.filter(whole, lambda w: (w["start"] <= s["start"]) & (s["end"] <= w["end"])), F.lit(0))
+    place = lambda s: F.struct(F.coalesce(around(s)["start"], s["start"]).alias("run"), s.alias("s"))
+    parts = F.transform(free(alone), place)
+    return F.concat(
+        F.transform(whole, lambda s: F.struct(s["start"].alias("run"), s.alias("s"))),
+        F.filter(parts, lambda p: (p["run"] < p["s"]["start"]) | around(p["s"]).isNull()),
+    )
+
+
 def pattern_of(before: Column) -> Column:
     """The last two words before a span, in lower case and with digits masked; else empty.
 
@@ -133,7 +157,12 @@ def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: flo
     text = clean_text(F.col("text"))
     found = written(
         docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-        .select("doc_id", seeds(F.col("text")).alias("base"), unseen(F.col("text")).alias("others"))
+        .select(
+            "doc_id",
+            seeds(F.col("text")).alias("base"),
+            unseen(F.col("text")).alias("alone"),
+            grouped(F.col("text")).alias("joined"),
+        )
         .withColumn("row", F.monotonically_increasing_id()),
         "personal",
     )
@@ -141,18 +170,22 @@ def find(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: flo
         F.col("s.before").alias("pattern"), F.col("s.hit").alias("instance"), "s.kind"
     )
     places = written(
-        found.select("row", F.filter("others", lambda s: apart(s["start"], s["end"], F.col("base"))).alias("others"))
-        .select("row", F.explode("others").alias("s"))
-        .select("row", F.col("s.before").alias("pattern"), F.col("s.hit").alias("instance"), "s"),
+        found.select("row", F.explode(candidates(F.col("base"), F.col("alone"), F.col("joined"))).alias("c"))
+        .select("row", "c.run", "c.s")
+        .select("row", "run", F.col("s.before").alias("pattern"), F.col("s.hit").alias("instance"), "s"),
         "unseen",
     )
     trusted = confident_patterns(seen, places, rounds, least_seeds, confidence)
     best = trusted.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("minus"))).alias("best"))
     added = (
         places.join(best.select("pattern", (-F.col("best.minus")).alias("kind")), "pattern")
-        .select("row", F.col("s").withField("kind", F.col("kind")).alias("s"))
+        .select("row", "run", F.col("s").withField("kind", F.col("kind")).alias("s"))
+        .groupBy("row", "run")
+        .agg(F.collect_list("s").alias("parts"))
+        # All groups of a run, if found, stand for the parts found in it.
+        .withColumn("all", F.filter("parts", lambda s: (s["start"] == F.col("run")) & s["hit"].rlike(r"[\x20.]")))
         .groupBy("row")
-        .agg(F.collect_list("s").alias("added"))
+        .agg(F.flatten(F.collect_list(F.when(F.size("all") > 0, F.col("all")).otherwise(F.col("parts")))).alias("added"))
     )
     return found.join(added, "row", "left").select(
         "doc_id",

@@ -186,6 +186,20 @@ def test_context_is_read_from_the_text(spark):
     assert found == ["0 phone"] * 4
 
 
+def test_grouped_identifiers_are_candidates(spark):
+    texts = [f"please call me {n}" for n in ("+1 222 333 4444", "+44 20 7946 0958", "+49 30 1234567", "+33 1 2345 6789")] * 3
+    texts += [f"1 {t}" for t in ("+1 222 333 4445", "+44 20 7946 0959", "+49 30 1234568")]
+    texts = [t if t.startswith("please") else f"row {t}" for t in texts]
+    texts += ["please call me 020 7946 0958 now", "please call me 555.123.4567.", "please call me 020-7946 0958"]
+    texts += ["see row 1 12345678", "please call me 12345678 1.2.3.4", "please call me 12 34"]
+    rows = personal_data.find(S.documents(spark, texts), confidence=0.5).collect()
+    added = {r.doc_id: [(s.hit, s.start) for s in r.added] for r in rows if r.added}
+    assert added == {
+        15: [("020 7946 0958", 15)], 16: [("555.123.4567", 15)], 17: [("020-7946 0958", 15)],
+        18: [("12345678", 10)], 19: [("12345678", 15)],
+    }
+
+
 def test_secrets_base_spans(spark):
     texts = mixed_texts()
     docs = S.clashing(S.documents(spark, texts))
