@@ -3,8 +3,9 @@
 Assigned secrets, access keys and long hexadecimal runs are candidates, and so are other
 long runs that mix letters and digits. Candidates are hashed, and for each hash the
 distinct owners and repositories are counted over the corpus. One that more than
-`most_owners` owners hold is a widely copied example; the others look live. Runs of no
-fixed form are reported only if a single owner holds them. All of it is built-in
+`most_owners` owners or `most_repositories` repositories hold is a widely copied example;
+the others look live. Runs of no fixed form are reported only if at most `most_owners`
+owners hold them. All of it is built-in
 functions; a secret is counted by (hash, owner, repository) first, so a common one is
 folded before it meets in one task.
 
@@ -77,7 +78,7 @@ def _with_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def _verdicts(found: DataFrame, most_owners: int) -> DataFrame:
+def _verdicts(found: DataFrame, most_owners: int, most_repositories: int) -> DataFrame:
     """row, verdict by span: `found` has row, owner, repository, base and generic."""
     spans = found.select("row", "owner", "repository", F.explode(F.concat("base", "generic")).alias("s")).withColumn(
         "hash", F.unhex(F.sha2(_value(F.col("s.hit"), F.col("s.kind")), 256))
@@ -90,13 +91,16 @@ def _verdicts(found: DataFrame, most_owners: int) -> DataFrame:
         holders.groupBy("hash").agg(distinct("owner").alias("owners"), distinct("repository").alias("repositories")),
         "ownership",
     )
-    judged = spans.join(ownership, "hash").where("s.kind < 3 OR owners = 1")
-    live = (F.col("owners") <= most_owners).alias("live")
+    judged = spans.join(ownership, "hash").where((F.col("s.kind") < 3) | (F.col("owners") <= most_owners))
+    live = ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live")
     return judged.groupBy("row").agg(F.collect_list(F.struct("s", live, "repositories")).alias("judged"))
 
 
-def find(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 2) -> DataFrame:
-    """doc_id, base and added spans, and how many spans look live or like examples."""
+def find(
+    docs: DataFrame, owner: Column, repository: Column, most_owners: int = 2, most_repositories: int = 3
+) -> DataFrame:
+    """doc_id, base and added spans, how many spans look live or like examples, and the
+    number of repositories that hold the document's most copied span (0 without one)."""
     found = _with_spans(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -106,7 +110,7 @@ def find(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
         )
     ).drop("text")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    judged = _verdicts(found.where("size(base) + size(generic) > 0"), most_owners)
+    judged = _verdicts(found.where("size(base) + size(generic) > 0"), most_owners, most_repositories)
     spans = F.transform("judged", lambda j: j["s"])
     return found.join(judged, "row", "left").select(
         "doc_id",
@@ -114,6 +118,7 @@ def find(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
         F.coalesce(F.filter(spans, lambda s: s["kind"] == 3), F.array().cast(FOUND)).alias("added"),
         F.coalesce(F.size(F.filter("judged", lambda j: j["live"])), F.lit(0)).cast("long").alias("n_live"),
         F.coalesce(F.size(F.filter("judged", lambda j: ~j["live"])), F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("judged", lambda j: j["repositories"])), F.lit(0)).cast("long").alias("repositories"),
     )
 
 
@@ -126,10 +131,13 @@ def report(found: DataFrame) -> DataFrame:
         listed(by_place(F.concat("base", "added")), KINDS).alias("spans"),
         "n_live",
         "n_example",
+        "repositories",
     )
 
 
-def redacted(docs: DataFrame, owner: str, repository: Column, most_owners: int = 2) -> DataFrame:
+def redacted(
+    docs: DataFrame, owner: str, repository: Column, most_owners: int = 2, most_repositories: int = 3
+) -> DataFrame:
     """The documents with every reported span replaced, and n_chars set anew.
 
     Live-looking secrets become [SECRET], widely copied ones [EXAMPLE]; overlapping spans
@@ -145,7 +153,7 @@ def redacted(docs: DataFrame, owner: str, repository: Column, most_owners: int =
     )
     has_spans = F.size("base") + F.size("generic") > 0
     touched = written(rows.where(has_spans).withColumn("row", F.monotonically_increasing_id()), "touched")
-    judged = _verdicts(touched.select("row", "owner", "repository", "base", "generic"), most_owners)
+    judged = _verdicts(touched.select("row", "owner", "repository", "base", "generic"), most_owners, most_repositories)
     cut = F.array_sort(
         F.transform("judged", lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["end"].alias("end"), j["live"].alias("live")))
     )

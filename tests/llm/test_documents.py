@@ -229,6 +229,17 @@ def test_secrets_by_owner(spark):
     assert got[7][0] == "key [SECRET] end" and got[8][0] is None and got[9][0] == "plain text" and len(got) == 10
 
 
+def test_secrets_by_repository(spark):
+    spread, shared = "password: my0wnSecret42", "key Zx81QkV00p11Rw22Lm33Tt44 end"
+    docs = S.documents(spark, [spread] * 4 + [shared] * 2 + ["key Yx81QkV00p11Rw22Lm33Tt44 end"] * 3, list("aaaabcbcd"))
+    repository = F.concat_ws("/", "source", F.when(F.col("doc_id") < 4, F.col("doc_id")))
+    rows = {r.doc_id: r for r in secret_scan.report(secret_scan.find(docs, F.col("source"), repository)).collect()}
+    found = [(rows[i].n_live, rows[i].n_example, rows[i].repositories) for i in range(9)]
+    assert found == [(0, 1, 4)] * 4 + [(1, 0, 2)] * 2 + [(0, 0, 0)] * 3
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, "source", repository).collect()}
+    assert clean[0] == "[EXAMPLE]" and clean[4] == clean[5] == "key [SECRET] end" and "Yx81" in clean[8]
+
+
 def test_overlapping_secrets_become_one(spark):
     text = "token = " + "ab12" * 10 + " rest"
     docs = S.documents(spark, [text])
