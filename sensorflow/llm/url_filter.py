@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sensorflow.llm.tables import in_workers, written
 
-#: Longest word that a label may hold; a longer run is left as one unknown word.
-LONGEST_WORD = 20
+#: Longest word that a label may hold: the longest label of a DNS name.
+LONGEST_WORD = 63
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 

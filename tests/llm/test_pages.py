@@ -48,6 +48,15 @@ def test_likeliest_split(spark):
     assert found == {"cheappills": ["cheap", "pills"], "freebetsnews": ["free", "bets", "news"], "qqq": ["qqq"]}
 
 
+def test_long_words_stay_whole(spark):
+    word, unknown = "rechtsschutzversicherung", "q" * 40
+    text = f"<p>{word} recht schutz versicherung billige</p> " * 20
+    counts = url_filter.word_counts(pages(spark, [(1, "", text)]), "html")
+    labels = spark.createDataFrame([(word,), ("billige" + word,), (unknown,)], "label string")
+    found = {r.label: r.words for r in url_filter.segmented(labels, counts).collect()}
+    assert found == {word: [word], "billige" + word: ["billige", word], unknown: [unknown]}
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(8)
     bad, good = ["casino", "bets", "pills", "win"], ["garden", "news", "school", "music"]
