@@ -7,6 +7,8 @@ whole packings: crossover injects well-filled bins of one parent into the other,
 that hold an injected piece are dissolved, and the displaced pieces are put back by best
 fit. Between epochs each island's best packing moves to the next island of its block.
 The best packing of each block wins; a block that has reached its lower bound stops.
+Then the emptiest sequences of every block are dissolved, and their pieces meet in fewer
+blocks of a next round, until one block is left or there would be no fewer.
 
 Null and empty texts are a document of the closing id alone. Repeated rows are packed
 each. A null doc_id is kept as null. Other columns are not read.
@@ -17,7 +19,7 @@ from __future__ import annotations
 import random
 import zlib
 from bisect import bisect_left, insort
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ from sensorflow.llm.tables import in_workers, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 STATE = "block long, island int, uids array<long>, lengths array<int>, elites array<array<int>>"
 PLACES = "uid long, sequence_id long, offset long"
+ELITES = "array<array<int>>"
+SEQUENCES = "loose boolean, uids array<long>, lengths array<int>"
+#: A block's emptiest sequences go on to the next round up to this share of its pieces.
+LOOSE = 0.125
 
 
 class WordTokens:
@@ -207,6 +213,9 @@ def _evolve(batches, capacity, epoch, population, generations, elite):
         for row in batch.to_pylist():
             lengths = row["lengths"]
             packings = [_packing(bins) for bins in row["elites"]]
+            if packings and epoch == 0:
+                order = _falling(lengths, list(range(len(lengths))))
+                packings.append(fitted(lengths, order, capacity))
             seed = f"{row['block']}-{row['island']}-{epoch}"
             found = evolved(lengths, packings, capacity, seed, population, generations)
             out.append(row | {"elites": [_numbers(p, len(lengths)) for p in found[:elite]]})
@@ -228,18 +237,39 @@ def _numbers(packing: Packing, n: int) -> list[int]:
     return bins
 
 
+def _sequences(batches, last):
+    """The sequences of each block; loose ones are to meet those of other blocks."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            uids, lengths = row["uids"], row["lengths"]
+            left = 0 if last else max(1, int(LOOSE * len(uids)))
+            loose = not last
+            for members in sorted(_packing(row["bins"]), key=lambda m: (sum(lengths[i] for i in m), m)):
+                loose, left = loose and left > 0, left - len(members)
+                out.append((loose, [uids[i] for i in members], [lengths[i] for i in members]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(c, t)
+                for c, t in zip(
+                    zip(*out) if out else [[], [], []], (pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                )
+            ],
+            names=["loose", "uids", "lengths"],
+        )
+
+
 def _place(batches):
     """Each item's sequence, named by the uid of its first piece, and its offset there."""
     for batch in batches:
         uids, names, offsets = [], [], []
         for row in batch.to_pylist():
-            for members in _packing(row["bins"]):
-                at = 0
-                for i in members:
-                    uids.append(row["uids"][i])
-                    names.append(row["uids"][members[0]])
-                    offsets.append(at)
-                    at += row["lengths"][i]
+            at = 0
+            for uid, length in zip(row["uids"], row["lengths"]):
+                uids.append(uid)
+                names.append(row["uids"][0])
+                offsets.append(at)
+                at += length
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in (uids, names, offsets)],
             names=["uid", "sequence_id", "offset"],
@@ -264,27 +294,57 @@ def placed(
     `pieces` has uid and length. Blocks are dealt by a hash of the uid, so their sizes
     stay near `block` whatever the data hold.
     """
-    n = pieces.count()
-    blocks = max(1, -(-n // block))
-    items = pieces.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
+    blocks = max(1, -(-pieces.count() // block))
     members = F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length"))))
     state = (
-        items.groupBy("block")
+        pieces.groupBy(_dealt("uid", blocks))
         .agg(members.alias("m"))
-        .select(
-            "block",
-            F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-            F.col("m.uid").alias("uids"),
-            F.col("m.length").alias("lengths"),
-            F.array().cast("array<array<int>>").alias("elites"),
+        .select("block", F.col("m.uid").alias("uids"), F.col("m.length").alias("lengths"), F.array().cast(ELITES).alias("elites"))
+    )
+    done, turn = [], 0
+    while True:
+        best = _best(state, capacity, islands, epochs, population, generations, elite, turn)
+        found = written(best.mapInArrow(in_workers(_sequences, last=blocks == 1), SEQUENCES), f"sequences_{turn}")
+        done.append(found.where("NOT loose"))
+        if blocks == 1:
+            break
+        loose, before = found.where("loose"), blocks
+        blocks = max(1, -(-(loose.agg(F.sum(F.size("uids"))).first()[0] or 0) // block))
+        if blocks >= before:
+            done.append(loose)
+            break
+        # Sequences are dealt whole and begin as they are, so that a round never adds one.
+        members = F.sort_array(F.collect_list(F.struct("uids", "lengths")))
+        bins = F.flatten(F.transform("m", lambda s, k: F.array_repeat(k, F.size(s["uids"]))))
+        state = (
+            loose.groupBy(_dealt("uids", blocks))
+            .agg(members.alias("m"))
+            .select(
+                "block",
+                F.flatten("m.uids").alias("uids"),
+                F.flatten("m.lengths").alias("lengths"),
+                F.array(bins).cast(ELITES).alias("elites"),
+            )
         )
+        turn += 1
+    return reduce(DataFrame.unionByName, done).mapInArrow(in_workers(_place), PLACES)
+
+
+def _dealt(by: str, blocks: int):
+    return F.pmod(F.xxhash64(by), F.lit(blocks)).alias("block")
+
+
+def _best(state, capacity, islands, epochs, population, generations, elite, turn) -> DataFrame:
+    """uids, lengths and bins of the best packing of each block."""
+    state = state.select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "uids", "lengths", "elites"
     )
     for epoch in range(epochs):
         evolve = in_workers(
             _evolve, capacity=capacity, epoch=epoch, population=population, generations=generations, elite=elite
         )
         spread = state.repartition(F.col("block"), F.col("island"))
-        state = written(spread.mapInArrow(evolve, STATE), f"islands_{epoch}")
+        state = written(spread.mapInArrow(evolve, STATE), f"islands_{turn}_{epoch}")
         if epoch + 1 < epochs:
             guests = state.select(
                 "block",
@@ -295,7 +355,7 @@ def placed(
                 "block", "island", "uids", "lengths", F.concat("elites", "guest").alias("elites")
             )
     best = F.min_by(F.struct("uids", "lengths", F.col("elites")[0].alias("bins")), _rank()).alias("b")
-    return state.groupBy("block").agg(best).select("b.*").mapInArrow(in_workers(_place), PLACES)
+    return state.groupBy("block").agg(best).select("b.*")
 
 
 def _rank():

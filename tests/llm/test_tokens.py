@@ -94,3 +94,17 @@ def test_many_blocks_and_islands(spark):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.uid * 37 % 90 + 5
     assert len(rows) == 500 and max(fill.values()) <= 100 and len({r.uid for r in rows}) == 500
+
+
+def test_blocks_meet_again(spark):
+    length = (F.col("id") * 37 % 31 + 5).cast("long")
+    pieces = spark.range(1200).select(F.col("id").alias("uid"), length.alias("length"))
+    fill, at = {}, {}
+    for r in packing.placed(pieces, 100, block=60).collect():
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.uid * 37 % 31 + 5
+        at.setdefault(r.sequence_id, []).append((r.offset, r.uid * 37 % 31 + 5))
+    total = sum(i * 37 % 31 + 5 for i in range(1200))
+    assert sum(map(len, at.values())) == 1200 and max(fill.values()) <= 100 and sum(fill.values()) == total
+    assert all(a + n == b for p in map(sorted, at.values()) for (a, n), (b, _) in zip(p, p[1:]))
+    print("sequences", len(fill), "bound", -(-total // 100))
+    assert len(fill) <= -(-total // 100) + 3
