@@ -171,6 +171,8 @@ def frames(archive: memoryview):
             raise ValueError("the archive ends inside a frame")
         magic, size = struct.unpack_from("<II", archive, at)
         if magic & 0xFFFFFFF0 == SKIPPABLE_MAGIC:
+            if at + 8 + size > len(archive):
+                raise ValueError("the archive ends inside a skippable frame")
             if magic == DICTIONARY_MAGIC and at == 0:
                 content = bytes(archive[8 : 8 + size])
                 if content[:4] == struct.pack("<I", 0xFD2FB528):  # itself a frame

@@ -120,6 +120,14 @@ def test_the_reader_checks_records():
     for raw in wrong:
         after = [r["error"] for r in archives.records(memoryview(archive(raw, good)))]
         assert after[0] and after[1] is None
+    # Whatever is cut off, every record that is read is whole, and the cut is told.
+    for whole in (archive(good, good), archive(good, good, dictionary=dictionary)):
+        heads = {0, len(archive(good, dictionary=dictionary)) if whole.startswith(struct.pack("<I", archives.DICTIONARY_MAGIC)) else len(archive(good)), len(whole)}
+        if dictionary and len(whole) > len(dictionary):
+            heads.add(8 + len(dictionary))
+        for size in (*range(12), *range(max(0, len(whole) - 600), len(whole) + 1)):
+            found = [r["error"] for r in archives.records(memoryview(whole[:size]))]
+            assert found.count(None) <= 2 and (size in heads or found[-1]), size
     cut = archive(good, good)[:-3]
     assert [bool(r["error"]) for r in archives.records(memoryview(cut))] == [False, True]
     with pytest.raises(ValueError):
