@@ -63,6 +63,9 @@ def measure_slice(texts: W.Texts) -> list[np.ndarray]:
     line_owner = texts.text_of(line_starts)
     salt = W.mixed(np.arange(n, dtype=np.uint64))
     order, same = _repeats(W.hashes(data, line_starts, line_ends) + salt[line_owner])
+    at = np.flatnonzero(same)
+    a, b = order[at - 1], order[at]
+    same[at] = W.same_bytes(data, line_starts[a], line_ends[a], line_starts[b], line_ends[b])
 
     runs = W.windows(W.hashes(data, starts, ends), WINDOW)
     last = WINDOW - 1

@@ -21,23 +21,16 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _seed = np.random.default_rng(20_240_607)
-_CODES = _seed.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER_CODES = _CODES.copy()
-_LOWER_CODES[65:91] = _CODES[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+# A random number for each byte at each of the first places of a span.
+_NEAR = 64
+_TABLE = _seed.integers(0, 2**64, (_NEAR, 256), dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER_TABLE = _TABLE[:, _LOWER]
+_FAR = np.uint64(0xD6E8FEB86659FD93)
 _WEIGHTS = _seed.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POW, _INV = _powers(_BASE, PIECE + 1), _powers(_INVERSE, PIECE + 1)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,24 +89,57 @@ def spans(texts: Texts, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run, end to end."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False):
-    """A 64-bit hash of each span; `lower` reads A-Z as a-z. Spans are in rising order."""
-    codes = _LOWER_CODES if lower else _CODES
+    """A 64-bit hash of each span; `lower` reads A-Z as a-z.
+
+    It is the sum of a random number for each byte at its place in the span. Spans are in
+    rising order, not empty, and don't overlap.
+    """
+    table = (_LOWER_TABLE if lower else _TABLE).ravel()
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
-        size = int(ends[j - 1]) - base
-        up, down = (_POW, _INV) if size <= PIECE else (_powers(_BASE, size), _INV)
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(codes[data[base : base + size]] * up[:size], out=sums[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[b] - sums[a]) * down[a]
+        lengths = ends[i:j] - starts[i:j]
+        begins = np.cumsum(lengths) - lengths
+        total = int(begins[-1] + lengths[-1])
+        place = np.arange(total) - np.repeat(begins, lengths)
+        if total == int(ends[j - 1]) - base:
+            letters = data[base : base + total]
+        else:
+            letters = data[np.repeat(starts[i:j], lengths) + place]
+        if int(lengths.max()) <= _NEAR:
+            values = table[place << 8 | letters]
+        else:
+            values = table[np.minimum(place, _NEAR - 1) << 8 | letters]
+            far = np.flatnonzero(place >= _NEAR)
+            code = _LOWER[letters[far]] if lower else letters[far]
+            values[far] = mixed((place[far] << 8 | code).astype(np.uint64) * _FAR)
+        out[i:j] = np.add.reduceat(values, begins)
         i = j
     return mixed(out + (ends - starts).astype(np.uint64) * _WEIGHTS[63])
 
 
+def same_bytes(data: np.ndarray, starts, ends, other_starts, other_ends) -> np.ndarray:
+    """Whether each span holds the bytes of its counterpart."""
+    lengths = ends - starts
+    out = lengths == other_ends - other_starts
+    at = np.flatnonzero(out & (lengths > 0))
+    if len(at):
+        n = lengths[at]
+        unlike = data[ragged(starts[at], n)] != data[ragged(other_starts[at], n)]
+        out[at] = ~np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    return out
+
+
 def windows(values: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of `size` neighbouring hashes."""
     n = max(0, len(values) - size + 1)

@@ -32,11 +32,21 @@ def prose(n, seed=1, words=60, vocabulary=400):
     return [" ".join(f"w{rng.randrange(vocabulary)}x{rng.randrange(9)}" for _ in range(rng.randint(1, words))) for _ in range(n)]
 
 
+def twins(size=10):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(size):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def nasty():
-    """Null, empty, blank, repeated, long, and text outside ASCII."""
+    """Null, empty, blank, repeated, long, colliding, and text outside ASCII."""
+    one, other = twins()
     return [
         None, "", " \t\n\x0b", "a", "a", "A a\nA a\nA a", "é ß 日本 🙂 x", "\x1c\x85 odd   spaces  ",
         "one two three four five six seven eight nine ten eleven", "x" * 3000, "word " * 3000, "tok<|endoftext|>en",
+        one, other, f"{one}\n{other}", f"a {one} b\u00a0 c", f"a {other} b\u00a0 c",
     ]
 
 

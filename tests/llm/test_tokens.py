@@ -1,15 +1,17 @@
 """Tokenisation and packing, against the libraries."""
 
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sensorflow.llm import byte_bpe, packing, token_counts
+from sensorflow.llm import byte_bpe, chunks, packing, token_counts, words
 from tests.llm import support as S
 
 
@@ -50,6 +52,50 @@ def test_token_counts(spark):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((given[r.doc_id] or "").encode()), n, n > 20)
 
 
+def short_strings():
+    atoms = [" ", "\u00a0", "\u3000", "\n", "a"]
+    return ["".join(x) for n in range(7) for x in itertools.product(atoms, repeat=n)]
+
+
+def test_all_short_strings_of_white_space():
+    given = short_strings()
+    column = pa.array(given)
+    counter = token_counts.Counter(P.path("byte_bpe_50k.json"))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(path), P.PATTERN)
+    known = chunks.Cache(encoder.encode_chunks)
+    counts, ids = [], []
+    for texts in words.slices(column):
+        starts, ends = chunks.chunk_spans(texts)
+        _, lengths = counter.known.place(texts.data, starts, ends)
+        counts += chunks.per_text(texts, starts, lengths).tolist()
+        found, bounds = byte_bpe.encoded(texts, known)
+        ids += [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert counts == [len(e.ids) for e in library.encode_batch(given, add_special_tokens=False)]
+    ranked = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    assert ids == ranked.encode_ordinary_batch(given)
+
+
+def test_a_cache_tells_colliding_spans_apart(monkeypatch):
+    monkeypatch.setattr(words, "hashes", lambda data, starts, ends: (ends - starts).astype("uint64"))
+    cache = chunks.Cache(lambda pieces: (np.array([b for p in pieces for b in p], dtype="uint32"), np.array([len(p) for p in pieces])))
+    for text in (b"ab ac ad ab", b"ac ad xyz a", b"ad ab ac xyz"):
+        parts = text.split(b" ")
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        starts = ends - [len(p) for p in parts]
+        at, lengths = cache.place(np.frombuffer(text, dtype=np.uint8), starts, ends)
+        assert [bytes(cache.ids[a : a + n].tolist()) for a, n in zip(at, lengths)] == parts
+
+
+def test_words_that_polynomials_confuse():
+    one, other = S.twins()
+    data = np.frombuffer(f"{one} {other}".encode(), dtype=np.uint8)
+    starts, ends = np.array([0, 1025]), np.array([1024, 2049])
+    assert len(set(words.hashes(data, starts, ends).tolist())) == 2
+    assert len(set(words.hashes(data, starts, ends, lower=True).tolist())) == 2
+
+
 def test_packing(spark):
     path, given, capacity = P.path("word_bpe_49k.json"), texts(), 64
     library = Tokenizer.from_file(path)
