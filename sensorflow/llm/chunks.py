@@ -14,7 +14,7 @@ import numpy as np
 
 from sensorflow.llm import words as W
 
-# Entries a worker holds at most (about 150 MB); beyond, it starts anew. No result depends on it.
+# Entries a worker holds at most (about 200 MB); beyond, it starts anew. No result depends on it.
 CACHE_ENTRIES = 1_500_000
 
 # Fixed: characters of three UTF-8 bytes that some Unicode version counts as white space.
@@ -59,8 +59,8 @@ ragged = W.ragged
 class Cache:
     """Token ids of spans, found by a hash of their bytes and then by the bytes themselves."""
 
-    def __init__(self, encode: Encode):
-        self.encode = encode
+    def __init__(self, encode: Encode, most: int = CACHE_ENTRIES):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -111,7 +111,7 @@ class Cache:
         )
         slots, known = self.find(keys)
         if not known.all():
-            if len(self.keys) + np.count_nonzero(~known) > CACHE_ENTRIES:
+            if len(self.keys) + np.count_nonzero(~known) > self.most:
                 self.clear()
                 known[:] = False
             slots[~known] = self.add(self._cut(data, starts, ends, first[~known]))

@@ -88,9 +88,61 @@ SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_dig
 FROM (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 """
 
+AUDIT = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws FROM documents),
+flags AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {{
+    'A': len(ws) < 200,
+    'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+    'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)}} AS failed
+  FROM d LEFT JOIN flags USING (doc_id)),
+grouped AS (SELECT part, good, toxic, failed, count(*) AS n FROM fails GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+steps AS (
+  SELECT o AS filter_order, step::INTEGER AS step, substr(o, step, 1) AS letter,
+    string_split(substr(o, 1, step - 1), '')[1:step - 1] AS earlier
+  FROM orders, range(1, 6) AS s(step) WHERE length(o) = 5),
+outcomes AS (
+  SELECT *, failed[letter] AS own, len(list_filter(earlier, lambda x: failed[x])) > 0 AS gone,
+    len(list_filter(map_values(failed), lambda x: x)) AS failures FROM grouped, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (own AND failures = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (own AND NOT gone AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM outcomes GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    coalesce(list_sum(list_transform(list_zip(q.x, c.x, true), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
 SQL = {
     "op1_quality_rules": QUALITY,
     "op2_exact_dedup": DEDUP,
     "op6_ngram_join": NGRAMS,
     "op8_archives": ARCHIVES,
+    "op11_filter_audit": AUDIT,
+    "op12_topk_search": TOP_K,
 }

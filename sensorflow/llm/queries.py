@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorflow.llm import (
+    alignment,
     archives,
     byte_bpe,
     exact_dedup,
+    filter_audit,
     ngram_join,
     oracles,
     packing,
@@ -17,6 +19,7 @@ from sensorflow.llm import (
     quality_rules,
     secret_scan,
     token_counts,
+    topk_search,
     url_filter,
 )
 from sensorflow.session import work_dir
@@ -83,6 +86,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"), vocabulary, limit=512)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(_table(spark, sf_dir, "documents"), left, right)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +112,9 @@ QUERIES = {
         op8_archives,
         op9_secret_scan,
         op10_token_counts,
+        op11_filter_audit,
+        op12_topk_search,
+        op13_alignment,
     )
 }
 SQL = oracles.SQL
