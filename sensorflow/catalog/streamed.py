@@ -13,19 +13,20 @@ from sensorflow.catalog.common import (
     aggregation,
     element,
     job,
-    passed,
-    passed_sql,
+    source,
+    window_start,
     windowed,
     windowed_sql,
 )
-from sensorflow.catalog.configurations import registrations
+from sensorflow.catalog.configurations import activity
+from sensorflow.operators import configs
 from sensorflow.plans.job import jobs_frame
 from sensorflow.schemas import EVENT_COLUMNS
 from sensorflow.session import STATE_STORE, use_utc, work_dir
-from sensorflow.sinks import store
-from sensorflow.sources import messages
+from sensorflow.sinks import publish, store
+from sensorflow.sources import messages, streams
 from sensorflow.sources.tables import activity_columns
-from sensorflow.streaming import start
+from sensorflow.streaming import registry, start
 
 _SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
 
@@ -94,38 +95,63 @@ def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("arrival_seq").alias("event_id"), "reason")
 
 
-_LIVE = [
-    job("live-high", element("filter_greater", sensor="click", threshold=75)),
-    job("live-low", element("filter_less", sensor="view", threshold=5), aggregation("max", sensor="click")),
-]
+_GIVEN = job("live-high", element("filter_greater", sensor="view", threshold=75))
+
+
+def _late(threshold: int):
+    return job(
+        "late-sum",
+        element("filter_greater", sensor="click", threshold=threshold),
+        aggregation("sum", sensor="click", field="measurement"),
+    )
+
+
+_PARTS = 3
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs given at start meet the event stream; jobs registered meanwhile are acknowledged."""
+    """A job that is there at start, and one that is registered, and registered anew, meanwhile.
+
+    The events come in three parts. Before the second the late job arrives on the config
+    stream, before the third it arrives with another threshold. The event stream goes on
+    from its checkpoint each time, open windows included.
+    """
     output = work_dir(spark, "live")
-    registered = registrations(activity_stream(spark, sf_dir)).withColumn(
-        "jobId", F.concat(F.lit("late-"), "jobId")
+    settings = streams.Settings(output=f"{output}/store", checkpoint=f"{output}/checkpoint", config_path=f"{output}/configs")
+    rows = activity(spark, sf_dir)
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor(F.lit(_PARTS) * (F.col("event_id") - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1))
+    columns = activity_columns()
+    registry.register(jobs_frame(spark, [_GIVEN]), settings.registry)
+    for number in range(_PARTS):
+        if number:
+            late = jobs_frame(spark, [_late(50 if number == 1 else 20)])
+            publish.publish_configs(configs.config_messages(late), settings)
+            start.start_registrations(spark, settings, availableNow=True).awaitTermination()
+        rows.where(part == number).write.parquet(f"{output}/activity/part={number}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
+        events_ = arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
+        results = start.live_job_results(events_, settings.registry, HOUR, event_time=True)
+        with _stream_settings(spark):
+            query = start.start(results, settings.output, f"{settings.checkpoint}/events", "update", availableNow=True)
+        query.awaitTermination()
+    written = store.history(spark, settings.output)
+    newest = written.groupBy("_id", "window", "seq").agg(
+        F.max_by(F.struct(*[c for c in written.columns if c not in ("_id", "window", "seq")]), "batch_id").alias("r")
     )
-    # Late jobs listen to sensors that send nothing, so results do not hang on arrival order.
-    silent = F.transform(
-        "transformations",
-        lambda t: t.withField("params", F.map_concat(F.map_filter(t["params"], lambda k, _: k != "sensor"), F.create_map(F.lit("sensor"), F.lit("silent")))),
+    shown = newest.select("window", "seq", "r.*").unionByName(
+        start.acknowledgements(spark, settings.output).withColumn("seq", F.lit(None).cast("long")), allowMissingColumns=True
     )
-    results = start.live_job_results(
-        event_stream(spark, sf_dir),
-        registered.withColumn("transformations", silent),
-        HOUR,
-        salts=4,
-        registered=jobs_frame(spark, _LIVE),
-        delay="0 seconds",
+    return shown.select(
+        "job_id",
+        "result_kind",
+        window_start().alias("window_start"),
+        "grouping_key",
+        F.round("result_double", 6).alias("result_double"),
+        F.round("result_event.measurement", 6).alias("measurement"),
+        F.col("transformations")[0]["params"]["threshold"].alias("threshold"),
+        F.col("seq").alias("event_id"),
     )
-    with _stream_settings(spark):
-        query = start.start(results, f"{output}/store", f"{output}/checkpoint", availableNow=True)
-    query.awaitTermination()
-    written = store.history(spark, f"{output}/store")
-    acks = written.where("result_kind = 'ack'").groupBy("job_id", "result_kind").agg(F.count("*").alias("n"))
-    direct = passed(written).groupBy("job_id", "result_kind").agg(F.count("*").alias("n"))
-    return acks.unionByName(direct)
 
 
 _CLOCK = job(
@@ -170,12 +196,20 @@ QUERIES = {
     ),
     "stream_live_config": (
         _live,
-        "SELECT 'late-job-' || (user_id % 4) AS job_id, 'ack' AS result_kind, count(*) AS n FROM events GROUP BY 1 "
-        "UNION ALL SELECT job_id, result_kind, count(*) FROM ("
-        + passed_sql("live-high", "sensor = 'click' AND measurement > 75")
-        + ") GROUP BY 1, 2 UNION ALL SELECT job_id, result_kind, count(*) FROM ("
-        + passed_sql("live-low", "sensor = 'view' AND measurement < 5")
-        + ") GROUP BY 1, 2",
+        f"""
+WITH p AS (
+  SELECT e.*, 3 * (event_id - lo) // (hi - lo + 1) AS part FROM {source()} AS e,
+    (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)),
+met AS (
+  SELECT *, CASE part WHEN 1 THEN '50' ELSE '20' END AS threshold, time_bucket(INTERVAL '1 hour', ts) AS start
+  FROM p WHERE sensor = 'click' AND (part = 1 AND measurement > 50 OR part = 2 AND measurement > 20))
+SELECT 'late-sum' AS job_id, 'aggregate' AS result_kind, strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS window_start,
+  location AS grouping_key, round(sum(measurement), 6) AS result_double, CAST(NULL AS DOUBLE) AS measurement,
+  arg_min(threshold, event_id) AS threshold, min(event_id) AS event_id FROM met GROUP BY start, location
+UNION ALL SELECT 'live-high', 'passthrough', NULL, sensor, NULL, round(measurement, 6), '75', event_id
+  FROM p WHERE sensor = 'view' AND measurement > 75
+UNION ALL SELECT 'late-sum', 'ack', NULL, NULL, NULL, NULL, threshold, NULL FROM (VALUES ('50'), ('20')) AS a(threshold)
+""",
     ),
     "stream_processing_time": (
         _clock,

@@ -22,7 +22,8 @@ EVENT_PRODUCER = {
 
 def _append(messages: DataFrame, s: Settings, topic: str, path: str | None, producer: dict) -> None:
     if path:
-        messages.select("value").write.mode("append").text(path)
+        # The key is the name of the folder a message lies in.
+        messages.select("key", "value").write.mode("append").partitionBy("key").text(path)
         return
     options = {"kafka.bootstrap.servers": s.servers, "topic": topic, **producer}
     messages.select("key", "value").write.format("kafka").options(**options).save()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sensorflow.streaming.processors import numbered
 
 # Setting names and their defaults -----------------------------
 DEFAULTS = {
@@ -32,8 +35,14 @@ class Settings:
     checkpoint: str = ""
     config_path: str | None = None
     event_path: str | None = None
+    registry_path: str | None = None
     options: Mapping[str, str] = field(default_factory=dict)
 
+    @property
+    def registry(self) -> str:
+        """The table of registered jobs."""
+        return self.registry_path or f"{self.output}/registry"
+
     @staticmethod
     def from_mapping(env: Mapping[str, str], **given) -> Settings:
         def of(name: str) -> str:
@@ -71,29 +80,68 @@ def event_options(s: Settings) -> dict[str, str]:
     }
 
 
-def _topic(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
-    # Offsets order a partition; the low 20 bits tell partitions apart.
-    seq = F.col("offset") * F.lit(1 << 20) + F.col("partition")
-    return (
-        spark.readStream.format("kafka")
-        .options(**options)
-        .load()
-        .select("value", seq.alias("arrival_seq"), F.col("timestamp").alias("arrival_ts"))
+# A total order of messages: when, then where. Offsets say nothing across partitions, so the
+# broker's time comes first; lines of a folder come by the time of their file, then its
+# path, block and line.
+ARRIVAL = T.StructType(
+    [
+        T.StructField("at", T.TimestampType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("place", T.LongType()),
+        T.StructField("line", T.LongType()),
+    ]
+)
+
+
+def _arrived(at: Column, source: Column, place: Column, line: Column) -> Column:
+    values = (at, source, place, line)
+    ordered = [v.cast(f.dataType).alias(f.name) for v, f in zip(values, ARRIVAL, strict=True)]
+    return F.struct(*ordered).alias("arrival")
+
+
+def topic_columns() -> list[Column]:
+    """What is kept of a message of a topic."""
+    at, offset = F.col("timestamp"), F.col("offset")
+    # The same order as one number, as far as one holds it.
+    number = F.unix_micros(at) + F.pmod(offset, F.lit(1000))
+    return [
+        F.col("value"),
+        _arrived(at, F.col("partition"), offset, F.lit(0)),
+        number.alias("arrival_seq"),
+        at.alias("arrival_ts"),
+    ]
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """The lines of text files; those of a block are read, and numbered, in their order."""
+    file = F.col("_metadata")
+    placed = files.select(
+        "value",
+        file["file_modification_time"].alias("at"),
+        file["file_path"].alias("source"),
+        file["file_block_start"].alias("place"),
     )
+    schema = T.StructType([*placed.schema.fields, T.StructField("line", T.LongType())])
+    at = F.col("at")
+    return placed.mapInArrow(numbered, schema).select(
+        "value",
+        _arrived(at, F.col("source"), F.col("place"), F.col("line")),
+        (F.unix_micros(at) + F.col("line")).alias("arrival_seq"),
+        at.alias("arrival_ts"),
+    )
+
+
+def _topic(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
+    return spark.readStream.format("kafka").options(**options).load().select(*topic_columns())
 
 
 def _folder(spark: SparkSession, path: str, options: Mapping[str, str]) -> DataFrame:
-    # Lines have no sequence of their own; files are ordered by their time.
-    return (
-        spark.readStream.format("text")
-        .options(**options)
-        .load(path)
-        .select(
-            "value",
-            F.lit(None).cast("long").alias("arrival_seq"),
-            F.col("_metadata.file_modification_time").alias("arrival_ts"),
-        )
-    )
+    return _lines(spark.readStream.format("text").options(**options).load(path))
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of a folder as a table."""
+    return _lines(spark.read.format("text").load(path))
 
 
 def config_messages(spark: SparkSession, s: Settings) -> DataFrame:

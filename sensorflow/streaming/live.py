@@ -1,102 +1,113 @@
 """Jobs that are registered while the stream runs.
 
-Configs and events are keyed alike and meet in keyed state: an event sees the configs that
-were there when it arrived, and is lost if there are none. A sensor's events are spread
-over `salts` keys, each of which holds a copy of that sensor's configs, so one busy sensor
-does not end up in one task.
+Two streams. One takes configs: it checks them, adds them to the registry in resolved form
+and acknowledges them. The other takes events and joins them, in the JVM, with the
+registry as it was when the stream was started; an event without a job is lost. When the
+registry has grown, the event stream is stopped between two batches and started again
+from its checkpoint with the new jobs. Offsets, open windows and timers go on where they
+were, so nothing is lost or counted twice, and an event meets the jobs in force in its
+micro-batch. A small registry, by its measured size, is broadcast and events do not move;
+beyond that both sides are salted.
 """
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from sensorflow.operators import configs
-from sensorflow.schemas import EVENT_COLUMNS, STEPS
-from sensorflow.streaming.processors import LiveJobs
-
-PAIRED = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("sensor", T.StringType()),
-        T.StructField("measurement", T.DoubleType()),
-        T.StructField("measurement_unit", T.StringType()),
-        T.StructField("datetime", T.StringType()),
-        T.StructField("location", T.StringType()),
-        T.StructField("data_quality", T.StringType()),
-        T.StructField("event_ts", T.TimestampType()),
-        T.StructField("arrival_seq", T.LongType()),
-        T.StructField("is_nan", T.BooleanType()),
-        T.StructField("cfg_job_id", T.StringType()),
-        T.StructField("cfg_document", T.StringType()),
-    ]
-)
-
-
-def _config_rows(job_configs: DataFrame, salts: int) -> DataFrame:
-    """Configs as rows of the keyed stream, one copy per routing sensor and salt."""
-    steps = F.col("transformations")
-    seq = F.col("arrival_seq") if "arrival_seq" in job_configs.columns else F.col("seq")
-    return (
-        job_configs.select(
-            F.explode(configs.routing_keys(steps)).alias("key_sensor"),
-            F.col("jobId").alias("cfg_job_id"),
-            F.to_json(steps, {"ignoreNullFields": "false"}).alias("cfg_document"),
-            F.coalesce(seq, F.unix_micros(F.current_timestamp())).alias("cfg_seq"),
-        )
-        .withColumn("key_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-
-
-def paired_with_live_jobs(
+from pyspark.sql.streaming import StreamingQuery
+
+from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
+from sensorflow.operators import aggregates
+from sensorflow.plans import data_driven
+from sensorflow.streaming import registry
+from sensorflow.streaming.event_time import event_time_windows
+from sensorflow.streaming.processing_time import clock_windows
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """An event without a usable time of its own counts at the time it is processed."""
+    return events.withColumn("event_ts", F.coalesce("event_ts", F.current_timestamp()))
+
+
+def live_job_results(
     events: DataFrame,
-    job_configs: DataFrame,
-    salts: int = 16,
-    registered: DataFrame | None = None,
+    table: str,
+    seconds: int = DEFAULT_WINDOW_SECONDS,
     event_time: bool = False,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Pair streamed events with the jobs registered so far.
+    """Result stream of the jobs that the registry `table` holds now.
 
-    `job_configs` is a stream of accepted configs, `registered` a table of configs that are
-    there from the start. The result has the event columns, `cfg_job_id` and the step list.
-    With `event_time`, events must carry a watermark on `event_ts`; the pairs keep it.
+    Windows as in `start.fixed_job_results`.
     """
-    v = F.col("measurement")
-    salt = F.pmod(F.xxhash64("arrival_seq", "datetime", "location", "measurement"), F.lit(salts))
-    event_rows = events.select(
-        *EVENT_COLUMNS,
-        F.coalesce(F.isnan(v), F.lit(False)).alias("is_nan"),
-        F.col("sensor").alias("key_sensor"),
-        salt.cast("int").alias("key_salt"),
-    )
-    config_rows = _config_rows(job_configs, salts)
+    spark = events.sparkSession
+    event_time = event_time or delay is not None
     if event_time:
-        # Configs have no event time; they take the present so that they are never late.
-        config_rows = config_rows.withColumn("event_ts", F.current_timestamp())
-    rows = event_rows.unionByName(config_rows, allowMissingColumns=True)
-    given = None
-    if registered is not None:
-        given = _config_rows(registered, salts).groupBy("key_sensor", "key_salt")
-    paired = rows.groupBy("key_sensor", "key_salt").transformWithStateInPandas(
-        LiveJobs(PAIRED.fieldNames()),
-        PAIRED,
-        "Append",
-        "EventTime" if event_time else "None",
-        initialState=given,
-        eventTimeColumnName="event_ts" if event_time else "",
-    )
-    # A null and a NaN measurement look alike in pandas; the flag tells them apart again.
-    number = F.when(F.col("is_nan"), F.lit(float("nan"))).when(~F.isnan("measurement"), F.col("measurement"))
-    return paired.withColumn("measurement", number).drop("is_nan")
-
-
-def with_prepared_steps(paired: DataFrame) -> DataFrame:
-    """Add what the output rule needs from each pair's step list."""
-    others = [*EVENT_COLUMNS, "cfg_document"]
-    steps = paired.withColumn("transformations", F.from_json("cfg_document", STEPS))
-    ready = configs.prepared(
-        steps.withColumn("jobId", F.col("cfg_job_id")).withColumn("routing_sensor", F.col("sensor")),
-        carry=others,
-    )
-    return ready.drop("routing_sensor")
+        events = timed(events)
+    if delay is not None:
+        events = events.withWatermark("event_ts", delay)
+    ready = registry.registered(spark, table)
+    inputs, direct = data_driven.outputs_of(data_driven.join_configs(events, ready))
+    acc = (event_time_windows if event_time else clock_windows)(inputs, seconds)
+    # A window that was opened under an earlier registration names that one's steps.
+    every = registry.registrations(spark, table)
+    return data_driven.with_steps(aggregates.finish(acc), every).unionByName(direct)
+
+
+class LiveService:
+    """Runs the config stream, and the event stream anew whenever jobs were registered."""
+
+    def __init__(
+        self,
+        version: Callable[[], int],
+        start_configs: Callable[[], StreamingQuery],
+        start_events: Callable[[], StreamingQuery],
+        stop_query: Callable[[StreamingQuery], None],
+        pause: float = 1.0,
+    ):
+        self._version, self._start_events, self._stop_query = version, start_events, stop_query
+        self._pause, self._ended, self._failure = pause, threading.Event(), None
+        self._running: int | None = None
+        self.configs = start_configs()
+        self.events: StreamingQuery | None = None
+        self._thread = threading.Thread(target=self._run, name="live-jobs", daemon=True)
+        self._thread.start()
+
+    def _run(self) -> None:
+        try:
+            while not self._ended.is_set():
+                version = self._version()
+                self.events = self._start_events()
+                self._running = version
+                while not self._ended.wait(self._pause):
+                    for query in (self.configs, self.events):
+                        if query.exception() is not None:
+                            raise query.exception()
+                    if self._version() != version:
+                        break
+                self._running = None
+                self._stop_query(self.events)
+        except Exception as failure:  # told by exception(), as a query tells its own
+            self._failure = failure
+        finally:
+            for query in (self.configs, self.events):
+                if query is not None and query.isActive:
+                    self._stop_query(query)
+
+    def exception(self) -> Exception | None:
+        return self._failure
+
+    def running_version(self) -> int | None:
+        """The version of the registry that the event stream runs with; null between two runs."""
+        return self._running
+
+    @property
+    def isActive(self) -> bool:
+        return self._thread.is_alive()
+
+    def stop(self, timeout: float = 60.0) -> None:
+        self._ended.set()
+        self._thread.join(timeout)

@@ -1,7 +1,7 @@
-"""What runs inside Python workers: the two stateful processors and the batch fold.
+"""What runs inside Python workers: the stateful processor and the batch fold.
 
 The module imports nothing else of the package and is pickled by value, so workers need
-only pandas and numpy.
+only pandas, numpy and pyarrow.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -44,6 +45,15 @@ def text_fields(names: Sequence[str]) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with their number in it as the last column."""
+    done = 0
+    for batch in batches:
+        numbers = pa.array(np.arange(done, done + batch.num_rows, dtype=np.int64))
+        done += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=[*batch.schema.names, "line"])
+
+
 def batch_fold(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Fold the accumulators of each Arrow batch by `keys`."""
     keys = list(keys)
@@ -138,58 +148,3 @@ class ClockWindows(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class LiveJobs(StatefulProcessor):
-    """Map state job id -> step list; the last registration wins, by `arrival_seq`."""
-
-    def __init__(self, columns: Sequence[str]):
-        self.columns = list(columns)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState(
-            "jobs",
-            T.StructType([T.StructField("job_id", T.StringType())]),
-            T.StructType(
-                [T.StructField("document", T.StringType()), T.StructField("seq", T.LongType())]
-            ),
-        )
-
-    def _register(self, rows: pd.DataFrame) -> None:
-        # Of a job registered over and over, only the last row reaches the state.
-        ordered = rows.sort_values("cfg_seq", kind="stable").drop_duplicates("cfg_job_id", keep="last")
-        for job, document, seq in zip(
-            ordered["cfg_job_id"], ordered["cfg_document"], ordered["cfg_seq"], strict=True
-        ):
-            slot = (job,)
-            if self.jobs.containsKey(slot) and self.jobs.getValue(slot)[1] > seq:
-                continue
-            self.jobs.updateValue(slot, (document, int(seq)))
-
-    def _registered(self) -> pd.DataFrame:
-        rows = [(k[0], v[0]) for k, v in self.jobs.iterator()]
-        return pd.DataFrame(rows, columns=["cfg_job_id", "cfg_document"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Batches of rows are paired as they come and none is held back: of the configs that
-        # share a micro-batch with an event, those in an earlier or the same Arrow batch count.
-        registered = None
-        for pdf in rows:
-            is_config = pdf["cfg_job_id"].notna()
-            if is_config.any():
-                self._register(pdf[is_config])
-                registered = None
-            events = pdf[~is_config]
-            if events.empty:
-                continue
-            if registered is None:
-                registered = self._registered()
-            if not registered.empty:
-                bare = events.drop(columns=["cfg_job_id", "cfg_document"])
-                yield bare.merge(registered, how="cross")[self.columns]
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._register(initialState)
-
-    def close(self) -> None:
-        pass

@@ -12,25 +12,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
 from sensorflow.operators import aggregates, configs
-from sensorflow.plans import compiled, data_driven
+from sensorflow.plans import compiled
 from sensorflow.plans.job import Job
-from sensorflow.schemas import RESULT_COLUMNS, STEPS
+from sensorflow.schemas import RESULT_COLUMNS
 from sensorflow.session import STATE_STORE, use_utc
+from sensorflow.sinks import committed, store
 from sensorflow.sinks.store import upsert_writer
 from sensorflow.sources import messages, streams
+from sensorflow.streaming import registry
 from sensorflow.streaming.event_time import event_time_windows
-from sensorflow.streaming.live import paired_with_live_jobs, with_prepared_steps
+from sensorflow.streaming.live import LiveService, live_job_results, timed
 from sensorflow.streaming.processing_time import clock_windows
 
 # Fixed value: seconds between checkpoints of the set-up whose results are matched.
 CHECKPOINT_INTERVAL = "30 seconds"
 
 
-def timed(events: DataFrame) -> DataFrame:
-    """An event without a usable time of its own counts at the time it is processed."""
-    return events.withColumn("event_ts", F.coalesce("event_ts", F.current_timestamp()))
-
-
 def fixed_job_results(
     events: DataFrame,
     jobs: Sequence[Job],
@@ -59,30 +56,6 @@ def fixed_job_results(
     return windowed.unionByName(direct)
 
 
-def live_job_results(
-    events: DataFrame,
-    job_configs: DataFrame,
-    seconds: int = DEFAULT_WINDOW_SECONDS,
-    salts: int = 16,
-    registered: DataFrame | None = None,
-    delay: str | None = None,
-) -> DataFrame:
-    """Result stream of jobs that are registered while it runs, acknowledgements included."""
-    if delay is not None:
-        events = timed(events).withWatermark("event_ts", delay)
-    paired = paired_with_live_jobs(events, job_configs, salts, registered, delay is not None)
-    inputs, direct = data_driven.outputs_of(with_prepared_steps(paired), carry=["cfg_document"])
-    context = (*aggregates.CONTEXT, "cfg_document")
-    if delay is None:
-        acc = clock_windows(inputs, seconds, context)
-    else:
-        acc = event_time_windows(inputs, seconds, context)
-    acc = acc.withColumn("transformations", F.from_json("cfg_document", STEPS))
-    windowed = aggregates.finish(acc)
-    acks = configs.config_acks(job_configs)
-    return windowed.unionByName(direct).unionByName(acks)
-
-
 def start(
     results: DataFrame, output: str, checkpoint: str, mode: str = "append", **trigger
 ) -> StreamingQuery:
@@ -130,26 +103,66 @@ def start_refused(
     return events, rejected
 
 
-def start_live_jobs(
+def acknowledgements(spark: SparkSession, output: str) -> DataFrame:
+    """One result row per accepted config."""
+    return store.history(spark, f"{output}/acks")
+
+
+def start_registrations(spark: SparkSession, settings: streams.Settings, **trigger) -> StreamingQuery:
+    """Takes configs from their topic or folder: accepted ones are registered, then acknowledged."""
+    registry.create(use_utc(spark), settings.registry)
+    read = messages.parse_configs(streams.config_messages(spark, settings))
+    accepted, _ = configs.validate_configs(read.where("reason IS NULL").drop("reason"))
+
+    def register(batch: DataFrame, number: int) -> None:
+        registry.register(batch, settings.registry, number)
+        store.write_batch(configs.config_acks(batch), number, f"{settings.output}/acks")
+
+    return (
+        accepted.writeStream.option("checkpointLocation", f"{settings.checkpoint}/configs")
+        .trigger(**(trigger or {"processingTime": CHECKPOINT_INTERVAL}))
+        .foreachBatch(register)
+        .start()
+    )
+
+
+def start_events(
     spark: SparkSession,
     settings: streams.Settings,
     seconds: int = DEFAULT_WINDOW_SECONDS,
-    salts: int = 16,
+    event_time: bool = False,
     delay: str | None = None,
     **trigger,
 ) -> StreamingQuery:
+    """Takes events through the jobs registered now, from where an earlier run has stopped."""
+    use_utc(spark).conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    registry.create(spark, settings.registry)
+    parsed = messages.parse_events(streams.event_messages(spark, settings))
+    results = live_job_results(messages.good_events(parsed), settings.registry, seconds, event_time, delay)
+    mode = "update" if event_time and delay is None else "append"
+    return start(results, settings.output, f"{settings.checkpoint}/events", mode, **trigger)
+
+
+def start_live_jobs(
+    spark: SparkSession,
+    settings: streams.Settings,
+    seconds: int = DEFAULT_WINDOW_SECONDS,
+    event_time: bool = False,
+    delay: str | None = None,
+    pause: float = 1.0,
+    **trigger,
+) -> LiveService:
     """The full service: configs and events from their topics or folders, results to the store.
 
     Refused messages are kept by `start_refused`.
     """
-    use_utc(spark).conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    parsed = messages.parse_events(streams.event_messages(spark, settings))
-    read = messages.parse_configs(streams.config_messages(spark, settings))
-    accepted, _ = configs.validate_configs(read.where("reason IS NULL").drop("reason"))
-    results = live_job_results(
-        messages.good_events(parsed), accepted, seconds, salts, delay=delay
+    return LiveService(
+        lambda: committed.version(spark, settings.registry),
+        lambda: start_registrations(spark, settings, **trigger),
+        lambda: start_events(spark, settings, seconds, event_time, delay, **trigger),
+        stop_between_batches,
+        pause,
     )
-    return start(results, settings.output, settings.checkpoint, **trigger)
 
 
 def drain(query: StreamingQuery, seconds: int) -> None:

@@ -6,13 +6,15 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from support import INF, collected, event, frame, job, numbered, step
 
 from sensorflow.operators.aggregates import GROUP
 from sensorflow.plans import compiled
-from sensorflow.sinks import store
+from sensorflow.plans.job import jobs_frame
+from sensorflow.sinks import committed, publish, store
 from sensorflow.sources import messages, streams
-from sensorflow.streaming import start
+from sensorflow.streaming import registry, start
 from sensorflow.streaming.processors import batch_fold
 
 JOBS = [
@@ -108,32 +110,45 @@ def test_live_jobs_see_later_events_only_and_windows_close_while_idle(spark, tmp
     early, late = JOBS[0], job("late", step("max", "location", sensor="t"))
 
     def run():
-        return start.start_live_jobs(spark, settings, seconds=3, salts=2, processingTime="1 second")
+        return start.start_live_jobs(spark, settings, seconds=3, processingTime="1 second")
+
+    def meets(service):
+        """Waits until the event stream runs with all that is registered."""
+        version, deadline = committed.version(spark, settings.registry), time.monotonic() + 60
+        while service.running_version() != version and time.monotonic() < deadline:
+            assert service.exception() is None
+            time.sleep(0.2)
 
-    folder.configs(early, job("refused", step("max")))
     folder.events([event("t", 100.0, location="x")])
-    query = run()
+    service = run()
     try:
-        until(spark, folder, lambda rows: any(r["result_kind"] == "ack" for r in rows), query)
+        time.sleep(4)  # no job is there yet: the first event is lost
+        folder.configs(early, job("refused", step("max")))
+        until(spark, folder, lambda rows: committed.version(spark, settings.registry) > 0, service)
+        meets(service)
         folder.events([event("t", v, location="x", seq=i) for i, v in enumerate((5.0, 6.0))])
-        rows = until(spark, folder, lambda rows: any(r["result_double"] == 11.0 for r in rows), query)
+        rows = until(spark, folder, lambda rows: any(r["result_double"] == 11.0 for r in rows), service)
         assert {r["job_id"] for r in rows} == {"hot"}
+        # A job that is registered while the stream runs meets what comes after it.
+        folder.configs(late)
+        before = committed.version(spark, settings.registry)
+        until(spark, folder, lambda rows: committed.version(spark, settings.registry) > before, service)
+        meets(service)
+        folder.events([event("t", 8.0, location="x")])
+        rows = until(spark, folder, lambda rows: sum(r["result_double"] == 8.0 for r in rows) == 2, service)
     finally:
-        start.stop_between_batches(query)
-    # The registered job outlives a restart; the new one meets only what comes after it.
-    folder.configs(late)
-    query = run()
+        service.stop()
+    assert service.exception() is None and not service.isActive
+    # Both outlive a restart.
+    service = run()
     try:
-        until(spark, folder, lambda rows: any(r["job_id"] == "late" for r in rows), query)
-        folder.events([event("t", 8.0, location="x")])
-        rows = until(
-            spark, folder, lambda rows: sum(r["result_double"] == 8.0 for r in rows) == 2, query
-        )
+        folder.events([event("t", 9.0, location="x")])
+        rows = until(spark, folder, lambda rows: sum(r["result_double"] == 9.0 for r in rows) == 2, service)
     finally:
-        start.stop_between_batches(query)
+        service.stop()
     late_rows = [r["result_double"] for r in rows if r["job_id"] == "late" and r["result_kind"] == "aggregate"]
-    assert late_rows == [8.0]
-    acks = [r["job_id"] for r in rows if r["result_kind"] == "ack"]
+    assert late_rows == [8.0, 9.0]
+    acks = [r["job_id"] for r in start.acknowledgements(spark, settings.output).collect()]
     assert sorted(acks) == ["hot", "late"]
     assert all(r["transformations"] for r in rows)
 
@@ -141,28 +156,11 @@ def test_live_jobs_see_later_events_only_and_windows_close_while_idle(spark, tmp
 def test_live_jobs_with_event_time_windows_survive_late_events(spark, tmp_path):
     folder = Folder(tmp_path)
     settings = folder.settings()
-    registered = spark.createDataFrame(
-        [(j.job_id, j.document, i) for i, j in enumerate(JOBS)], "jobId string, d string, seq long"
-    ).selectExpr(
-        "jobId",
-        "from_json(d, 'array<struct<type:string,params:map<string,string>,keyBy:string>>') AS transformations",
-        "CAST(NULL AS STRING) AS outputTopic",
-        "seq",
-    )
-
-    def run():
-        parsed = messages.parse_events(streams.event_messages(spark, settings))
-        configs = messages.parse_configs(streams.config_messages(spark, settings)).drop("reason", "raw")
-        results = start.live_job_results(
-            messages.good_events(parsed), configs, 10, 2, registered, delay="0 seconds"
-        )
-        query = start.start(results, settings.output, settings.checkpoint, availableNow=True)
-        query.awaitTermination()
-
+    registry.register(jobs_frame(spark, JOBS), settings.registry)
     folder.events([event("t", 2.0, at=1, location="x"), event("t", 3.0, at=22, location="x")])
     folder.events([event("h", 7.0, at=23)])  # Spark drops late rows one batch after the watermark moved
     folder.events([event("t", 90.0, at=2, location="x"), event("t", 4.0, at=45, location="x"), event("h", None, at=46)])
-    run()
+    start.start_events(spark, settings, 10, delay="0 seconds", availableNow=True).awaitTermination()
     rows = folder.history(spark)
     sums = sorted(r["result_double"] for r in rows if r["job_id"] == "hot")
     assert sums == [2.0, 3.0]
@@ -170,6 +168,49 @@ def test_live_jobs_with_event_time_windows_survive_late_events(spark, tmp_path):
     assert sorted(passed, key=repr) == [7.0, None]
 
 
+def test_the_last_registration_counts_by_its_place(spark, tmp_path):
+    folder = Folder(tmp_path)
+    settings = folder.settings()
+
+    def limit(n):
+        return job("hot", step("filter_greater", sensor="t", threshold=n))
+
+    def thresholds():
+        rows = registry.registered(spark, settings.registry).select("routing_sensor", "cfg_steps").collect()
+        return [(r.routing_sensor, r.cfg_steps[0].params["threshold"]) for r in rows]
+
+    folder.configs(limit(1), limit(2), limit(3))
+    start.start_registrations(spark, settings, availableNow=True).awaitTermination()
+    assert thresholds() == [("t", "3")]
+    folder.configs(limit(9))
+    folder.configs(limit(5), limit(4))
+    start.start_registrations(spark, settings, availableNow=True).awaitTermination()
+    assert thresholds() == [("t", "4")]
+    # A batch that is replayed replaces what it wrote.
+    registry.register(jobs_frame(spark, [limit(7)]), settings.registry, 50)
+    registry.register(jobs_frame(spark, [limit(8)]), settings.registry, 50)
+    assert thresholds() == [("t", "8")]
+    assert registry.registrations(spark, settings.registry).where("batch = 50").count() == 1
+
+
+def test_messages_of_partitions_come_by_time(spark):
+    rows = [("2026-01-01 00:00:00.002", 0, 5, "late"), ("2026-01-01 00:00:00.001", 3, 900, "early"), ("2026-01-01 00:00:00.002", 0, 4, "between")]
+    sent = spark.createDataFrame(rows, "timestamp string, partition int, offset long, value string")
+    kept = sent.withColumn("timestamp", F.to_timestamp("timestamp")).select(*streams.topic_columns())
+    for order in ("arrival", "arrival_seq"):
+        assert [r["value"] for r in kept.orderBy(order).collect()] == ["early", "between", "late"]
+
+
+def test_folder_messages_keep_the_key(spark, tmp_path):
+    settings = streams.Settings(config_path=str(tmp_path / "c"))
+    messages_ = spark.createDataFrame([("a/b", "1"), ("a/b", "2"), ("c", "3"), (None, "4")], "key string, value string").coalesce(1)
+    publish.publish_configs(messages_, settings)
+    back = spark.read.text(settings.config_path)
+    assert sorted((r["key"] or "", r["value"]) for r in back.collect()) == [("", "4"), ("a/b", "1"), ("a/b", "2"), ("c", "3")]
+    placed = streams.read_folder(spark, settings.config_path).orderBy("arrival").collect()
+    assert [r["value"] for r in placed if r["value"] in "12"] == ["1", "2"]
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0]])
 def test_fold_keeps_the_context_of_the_earliest_row(order):
     base = dict.fromkeys(GROUP, "g")
