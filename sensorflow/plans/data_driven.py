@@ -16,12 +16,16 @@ from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
 from sensorflow.operators import aggregates, configs, outputs
 from sensorflow.operators.steps import STEP_BUILDERS, RowState, StructParams
 from sensorflow.schemas import CLEANABLE_FIELDS, EVENT_COLUMNS
+from sensorflow.session import work_dir
 
 # A config table up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 SLICE_SECONDS = 3600
-SLICE_SALTS = 4
+# Registrations of a sensor in one cell of time, and events of a cell in one task.
+DENSE = 256
+PART_ROWS = 1 << 20
+AT_THE_END = (1 << 63) - 1
 
 
 def serialized_bytes(df: DataFrame) -> int:
@@ -61,76 +65,134 @@ def join_configs(
     return left.join(right, on).drop("salt")
 
 
+def _fits(rows: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The table, to be broadcast where its measured size allows."""
+    return F.broadcast(rows) if serialized_bytes(rows) <= broadcast_bytes else rows
+
+
 def join_configs_as_of(
-    events: DataFrame, log: DataFrame, at: str = "event_ts", slice_seconds: int = SLICE_SECONDS, salts: int = SLICE_SALTS
+    events: DataFrame,
+    log: DataFrame,
+    at: str = "event_ts",
+    slice_seconds: int = SLICE_SECONDS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    dense: int = DENSE,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Pair each event with the configs that were the latest ones at its time `at`.
 
-    `log` holds every registration with `registered_at` and `seq`. Events and registrations
-    of a (sensor, job) are put in one row of time, and each event takes the last
-    registration before or at it. No such row is sorted whole: it is cut into time slices,
-    and a slice into salts. Into each slice that has events comes the last registration of
-    the slices before it, and every salt has a copy of the registrations of its slice. So
-    the work grows with events, registrations and jobs per sensor, whatever their density
-    or how far in the future one of them lies. An event without a time is later than all
-    registrations.
+    `log` holds every registration with `registered_at` and `seq`. Each is resolved once,
+    into a table with a version number; time is compared on narrow rows (key, time, version).
+    They become intervals inside time slices: the registrations of a slice, and what holds
+    when it begins. A slice with more than `dense` registrations of a sensor is cut into
+    pieces by their number. An event finds its slice by its key and the interval by its
+    time, and moves once, whole, with no copy per job before it is known to have a config.
+
+    Intervals that are measured to be small are broadcast and events don't move for them;
+    else a cell with many events is cut into parts of about `part_rows`, each with its own
+    copy of the intervals. An event without a time is later than all registrations: such
+    events form a cell of their own at the end of time.
     """
-    width = slice_seconds * 1_000_000
-    # The last microsecond a timestamp column can hold stands for no time.
-    end = F.lit(9_223_372_036_854_775_807)
+    spark, width = events.sparkSession, slice_seconds * 1_000_000
+    key = ["routing_sensor", "cfg_job_id"]
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        folder = work_dir(spark, name)
+        rows.write.parquet(folder)
+        return spark.read.schema(rows.schema).parquet(folder)
+
+    # A log is small beside the events, but resolving it is work for all cores.
+    spread_log = log.where(F.col("registered_at").isNotNull()).repartition(spark.sparkContext.defaultParallelism)
+    resolved = configs.prepared(spread_log, carry=("registered_at", "seq"))
+    columns = [c for c in resolved.columns if c not in ("registered_at", "seq")]
+    # Stored, so that a version keeps its number and narrow reads leave the rest out.
+    versions = stored(
+        resolved.select(
+            *columns,
+            F.unix_micros("registered_at").alias("since"),
+            F.col("seq").cast("long").alias("seq"),
+            F.monotonically_increasing_id().alias("version"),
+        ),
+        "registrations",
+    )
+    order = F.struct("since", "seq", "version")
 
     def slice_of(micros: Column) -> Column:
-        return F.floor(micros / F.lit(width)).cast("long")
-
-    columns = events.columns
-    moved = events.select(
-        F.col("sensor").alias("routing_sensor"),
-        F.coalesce(F.unix_micros(at), end).alias("micros"),
-        F.pmod(F.xxhash64("arrival_seq", "datetime", "location", "measurement"), F.lit(salts)).cast("int").alias("salt"),
-        F.struct(*columns).alias("event"),
-    ).withColumn("slice", slice_of(F.col("micros")))
-    versions = configs.prepared(log, carry=("registered_at", "seq")).where(F.col("registered_at").isNotNull())
-    kept = [c for c in versions.columns if c not in ("registered_at", "seq")]
-    versions = versions.select(
-        "routing_sensor",
-        "cfg_job_id",
-        F.unix_micros("registered_at").alias("micros"),
-        "seq",
-        F.struct(*kept).alias("cfg"),
-    ).withColumn("slice", slice_of(F.col("micros")))
-    jobs = versions.select("routing_sensor", "cfg_job_id").distinct()
-    key = ["routing_sensor", "cfg_job_id"]
+        return F.floor(micros / F.lit(width)).cast("long").alias("slice")
+
+    narrow = versions.select(*key, "since", "seq", "version").withColumn("slice", slice_of(F.col("since")))
+    crowded = stored(
+        narrow.groupBy("routing_sensor", "slice")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > dense)
+        .select("routing_sensor", "slice", F.ceil(F.col("n") / dense).alias("pieces")),
+        "crowded",
+    )
+    crowded = _fits(crowded, broadcast_bytes)
+
+    def placed(rows: DataFrame, micros: Column) -> DataFrame:
+        """Rows with the piece of their slice."""
+        inside = micros - F.col("slice") * F.lit(width)
+        piece = F.floor(F.col("pieces").cast("decimal(20,0)") * inside / F.lit(width))
+        return (
+            rows.join(crowded, ["routing_sensor", "slice"], "left")
+            .withColumn("piece", F.coalesce(piece.cast("long"), F.lit(0).cast("long")))
+            .drop("pieces")
+        )
 
-    # What each slice with events finds: the last registration of the slices before it.
-    ends = versions.groupBy(*key, "slice").agg(F.max_by("cfg", F.struct("micros", "seq")).alias("cfg"))
-    asked = moved.select("routing_sensor", "slice").distinct().join(jobs, "routing_sensor")
+    cell = ["slice", "piece"]
+    narrow = placed(narrow, F.col("since"))
+    time = F.unix_micros(at)
+    # No registration lies in the last slice a long can number.
+    timed = events.withColumns(
+        {"routing_sensor": F.col("sensor"), "slice": F.coalesce(slice_of(time), F.lit(AT_THE_END))}
+    )
+    timed = placed(timed, time)
+
+    # What each cell with events finds when it begins: the last registration of the cells before.
+    asked = timed.groupBy("routing_sensor", *cell).agg(F.count("*").alias("n_events"))
+    ends = narrow.groupBy(*key, *cell).agg(F.max_by("version", order).alias("version"))
+    jobs = narrow.select(*key).distinct()
+    none = F.lit(None).cast("long")
     timeline = (
-        ends.select(*key, "slice", "cfg", F.lit(False).alias("asked"))
-        .unionByName(asked.select(*key, "slice", F.lit(None).cast(ends.schema["cfg"].dataType).alias("cfg"), F.lit(True).alias("asked")))
-        .groupBy(*key, "slice")
-        .agg(F.any_value("cfg", True).alias("cfg"), F.bool_or("asked").alias("asked"))
+        ends.select(*key, *cell, "version", none.alias("n_events"))
+        .unionByName(asked.join(jobs, "routing_sensor").select(*key, *cell, none.alias("version"), "n_events"))
+        .groupBy(*key, *cell)
+        .agg(F.max("version").alias("version"), F.max("n_events").alias("n_events"))
     )
-    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        timeline.withColumn("cfg", F.last("cfg", ignorenulls=True).over(before))
-        .where(F.col("asked") & F.col("cfg").isNotNull())
-        .select(*key, "slice", F.lit(-end).alias("micros"), F.lit(None).cast("long").alias("seq"), "cfg")
+        timeline.withColumn("version", F.last("version", ignorenulls=True).over(before))
+        .where(F.col("n_events").isNotNull() & F.col("version").isNotNull())
+        .select(*key, *cell, none.alias("since"), none.alias("seq"), "version")
     )
-    known = carried.unionByName(versions.select(carried.columns)).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    # Of registrations at one time all but the last hold for no time at all.
+    following = Window.partitionBy(*key, *cell).orderBy(F.asc_nulls_first("since"), "seq", "version")
+    intervals = (
+        carried.unionByName(narrow.select(carried.columns))
+        .withColumn("until", F.lead("since").over(following))
+        .where(F.col("until").isNull() | F.col("since").isNull() | (F.col("until") > F.col("since")))
+        .select("routing_sensor", *cell, "since", "until", "version")
     )
-    met = moved.join(jobs, "routing_sensor").select(
-        *key, "slice", "salt", "micros", F.lit(None).cast("long").alias("seq"), "event",
-        F.lit(None).cast(ends.schema["cfg"].dataType).alias("cfg"),
-    )
-    line = known.withColumn("event", F.lit(None).cast(moved.schema["event"].dataType)).unionByName(met)
-    # A registration comes before an event of the same time.
-    so_far = Window.partitionBy(*key, "slice", "salt").orderBy("micros", F.col("event").isNotNull(), "seq")
-    return (
-        line.withColumn("cfg", F.last("cfg", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("event").isNotNull() & F.col("cfg").isNotNull())
-        .select("event.*", "cfg.*")
+    intervals, on = stored(intervals, "intervals"), ["routing_sensor", *cell]
+    small = _fits(intervals, broadcast_bytes)
+    if small is intervals:
+        busy = asked.where(F.col("n_events") > part_rows).select(
+            "routing_sensor", *cell, F.ceil(F.col("n_events") / part_rows).alias("parts")
+        )
+        busy = _fits(busy, broadcast_bytes)
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        drawn = F.pmod(F.xxhash64("arrival_seq", "datetime", "location", "measurement"), parts)
+        timed = timed.join(busy, on, "left").withColumn("part", drawn).drop("parts")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        small = intervals.join(busy, on, "left").withColumn("part", every).drop("parts")
+        on = [*on, "part"]
+    met = timed.join(small, on).where(
+        (F.col("since").isNull() | (time >= F.col("since"))) & (F.col("until").isNull() | (time < F.col("until")))
     )
+    pairs = met.select(*events.columns, "version")
+    found = pairs.join(_fits(versions.select(*columns, "version"), broadcast_bytes), "version")
+    return found.select(*events.columns, *columns)
 
 
 def _params(t: Column) -> StructParams:

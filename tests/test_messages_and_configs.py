@@ -1,5 +1,6 @@
 """Parsing, quarantine, config checks, routing and registration logs."""
 
+import bisect
 import json
 
 import pytest
@@ -135,8 +136,13 @@ def registered(spark, rows):
 def test_as_of_join_in_any_slices(spark):
     log = registered(spark, [("a", 10.0, 1, 1.0), ("a", 20.0, 2, 2.0), ("a", 20.0, 3, 3.0), ("b", 5.0, 4, 4.0), ("a", 90000.0, 5, 5.0)])
     times = [0, 5, 10, 19.5, 20, 89999, 90000, 200000]
-    events = frame(spark, [event("t", 9.0, at=s) for s in times] + [event("u", 9.0, at=50)])
+    rows = [event("t", 9.0, at=s) for s in times] + [event("u", 9.0, at=50)]
+    # Two events without a time meet the last registrations.
+    rows += [event("t", 9.0, text="no time"), event("t", 9.0, text="none")]
+    events = frame(spark, rows)
     expected = {
+        9: {("a", 5.0), ("b", 4.0)},
+        10: {("a", 5.0), ("b", 4.0)},
         1: {("b", 4.0)},
         2: {("a", 1.0), ("b", 4.0)},
         3: {("a", 1.0), ("b", 4.0)},
@@ -145,14 +151,36 @@ def test_as_of_join_in_any_slices(spark):
         6: {("a", 5.0), ("b", 4.0)},
         7: {("a", 5.0), ("b", 4.0)},
     }
-    for seconds in (1, 15, 3600, 10**7):
-        pairs = data_driven.join_configs_as_of(events, log, slice_seconds=seconds)
+    broadcast, cut = {}, {"broadcast_bytes": 0, "part_rows": 2}
+    for seconds, how in ((1, broadcast), (15, cut), (3600, {**cut, "dense": 2}), (10**7, {**broadcast, "dense": 1}), (10**7, cut)):
+        pairs = data_driven.join_configs_as_of(events, log, slice_seconds=seconds, **how)
         got = {}
         for r in pairs.select("arrival_seq", "cfg_job_id", "cfg_steps").collect():
             got.setdefault(r[0], set()).add((r[1], float(r[2][0]["params"]["threshold"])))
         assert got == expected
 
 
+def test_as_of_join_of_one_crowded_moment(spark):
+    """Nine events in ten have one hour or no time; without a broadcast they fall into even tasks."""
+    n = 4000
+    moment = F.when(F.col("id") % 10 == 0, F.col("id") * 900).when(F.col("id") % 10 < 5, F.lit(1_800_000) + F.col("id") % 3600)
+    events = frame(spark, [event("t", 1.0)]).drop("event_ts", "arrival_seq", "datetime").crossJoin(
+        spark.range(n).select(
+            F.col("id").alias("arrival_seq"), F.col("id").cast("string").alias("datetime"),
+            F.timestamp_micros(F.lit(1767225600 * 10**6) + moment * 10**6).alias("event_ts"),
+        )
+    )
+    log = registered(spark, [("a", float(at), at, float(at)) for at in (*range(0, 3_600_000, 90_000), *range(1_800_000, 1_803_600, 3))])
+    joins = [data_driven.join_configs_as_of(events, log, broadcast_bytes=b, part_rows=200, dense=16) for b in (0, 1 << 26)]
+    cut, broadcast = [sorted((r[0], r[1]) for r in j.select("arrival_seq", F.col("cfg_steps")[0]["params"]["threshold"]).collect()) for j in joins]
+    assert cut == broadcast and len(cut) == n
+    by_time = sorted((float(t), t) for t in {*range(0, 3_600_000, 90_000), *range(1_800_000, 1_803_600, 3)})
+    places = [t for t, _ in by_time]
+    for i, threshold in cut:
+        at = i * 900 if i % 10 == 0 else 1_800_000 + i % 3600 if i % 10 < 5 else 10**9
+        assert float(threshold) == places[bisect.bisect_right(places, at) - 1]
+
+
 def test_settings_and_topic_options():
     s = streams.Settings.from_mapping({"INPUT_TOPIC": "in"})
     assert (s.config_topic, s.input_topic) == ("etl.config.v1", "in")
