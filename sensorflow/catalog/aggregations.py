@@ -22,8 +22,9 @@ from sensorflow.catalog.common import (
     windowed_sql,
 )
 from sensorflow.operators import aggregates, configs, steps
-from sensorflow.plans import compiled, data_driven
+from sensorflow.plans import compiled, data_driven, indexed
 from sensorflow.plans.job import Job, jobs_frame, load_jobs
+from sensorflow.schemas import STEPS
 
 JOB_FILES = Path(__file__).resolve().parents[2] / "jobs"
 
@@ -251,6 +252,57 @@ _UNION_SQL = union_sql(
 )
 
 
+_SENSORS = ("click", "view", "purchase", "signup", "error")
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job per customer, each with its own threshold; every third one aggregates."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    sensor = F.element_at(F.array(*map(F.lit, _SENSORS)), (F.col("k") % 5 + 1).cast("int"))
+    turn = F.col("k") % 3
+    limit = F.when(turn == 1, F.col("k") % 10 / 100 + 0.02).otherwise(F.col("k") % 100 + 330.0)
+
+    def step(kind, params, key_by=None):
+        named = F.create_map(*[x for n, v in params.items() for x in (F.lit(n), v.cast("string"))])
+        return F.struct(kind.alias("type"), named.alias("params"), F.lit(key_by).cast("string").alias("keyBy"))
+
+    own = {"sensor": sensor, "threshold": limit}
+    first = step(F.when(turn == 1, "filter_less").otherwise("filter_greater"), own)
+    last = step(F.lit("max"), {"sensor": sensor}, "location")
+    jobs = customers.select(
+        F.concat(F.lit("customer-"), F.col("k").cast("string")).alias("jobId"),
+        F.when(turn == 2, F.array(first, last)).otherwise(F.array(first)).cast(STEPS).alias("transformations"),
+        F.col("k").alias("seq"),
+    )
+    results = indexed.run(events(spark, sf_dir), jobs, DAY)
+    return results.select(
+        "job_id",
+        "result_kind",
+        window_start().alias("window_start"),
+        "grouping_key",
+        F.round(F.coalesce("result_double", "result_event.measurement"), 6).alias("result"),
+        F.col("transformations")[0]["params"]["threshold"].try_cast("double").alias("threshold"),
+        F.col("seq").alias("event_id"),
+    )
+
+
+_MANY_SQL = f"""
+WITH j AS (
+  SELECT 'customer-' || c_custkey AS job_id, c_custkey % 3 AS turn,
+    ['click', 'view', 'purchase', 'signup', 'error'][c_custkey % 5 + 1] AS own,
+    CASE c_custkey % 3 WHEN 1 THEN (c_custkey % 10) / 100 + 0.02::DOUBLE ELSE c_custkey % 100 + 330.0::DOUBLE END AS threshold
+  FROM customer),
+p AS (
+  SELECT j.*, e.* FROM j JOIN {source()} AS e ON e.sensor = j.own
+    AND CASE turn WHEN 1 THEN measurement < threshold ELSE measurement > threshold END)
+SELECT job_id, 'passthrough' AS result_kind, CAST(NULL AS VARCHAR) AS window_start, sensor AS grouping_key,
+  round(measurement, 6) AS result, threshold, event_id FROM p WHERE turn < 2
+UNION ALL SELECT job_id, 'aggregate', strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%dT%H:%M:%SZ'), location,
+  round(max(measurement), 6), any_value(threshold), min(event_id) FROM p WHERE turn = 2
+GROUP BY job_id, time_bucket(INTERVAL '1 day', ts), location
+"""
+
+
 QUERIES = {
     **{
         f"agg_{kind}": (_windows(_HOURLY[kind], HOUR), _hourly_sql(kind))
@@ -309,6 +361,7 @@ QUERIES = {
         "SELECT 'span' AS aggregation_type, 'room-' || (user_id % 8) AS grouping_key, strftime(ts, '%Y-%m-%d') AS day, "
         "round(max(value * 2) - min(value * 2), 6) AS span FROM events WHERE event_type = 'view' GROUP BY 2, 3",
     ),
+    "many_jobs": (_many, _MANY_SQL),
     "compiled_all_jobs": (_all_compiled, ALL_JOBS_SQL),
     "data_driven_all_jobs": (_all_data_driven, ALL_JOBS_SQL),
 }

@@ -22,9 +22,12 @@ from sensorflow.operators.steps import (
     as_double,
     step,
 )
-from sensorflow.plans.job import Job
+from sensorflow.plans import indexed
+from sensorflow.plans.job import Job, jobs_frame
 from sensorflow.schemas import EVENT_COLUMNS
 
+MANY_JOBS = 64
+
 OUTPUT_HEAD = (
     "result_kind",
     "grouping_field",
@@ -249,7 +252,12 @@ def _empty_output() -> Column:
 def run_jobs(
     events: DataFrame, jobs: Sequence[Job], seconds: int = DEFAULT_WINDOW_SECONDS
 ) -> DataFrame:
-    """All result rows of many jobs over a batch of events."""
+    """All result rows of many jobs over a batch of events.
+
+    A plan grows with its jobs, so more than MANY_JOBS become rows of an index.
+    """
+    if len(jobs) > MANY_JOBS:
+        return indexed.run(events, jobs_frame(events.sparkSession, jobs), seconds)
     inputs, direct = jobs_outputs(events, jobs)
     windowed = aggregates.aggregate_windows(inputs, seconds)
     return windowed.withColumn("transformations", steps_of(jobs)).unionByName(direct)

@@ -16,7 +16,7 @@ from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
 from sensorflow.operators import aggregates, configs, outputs
 from sensorflow.operators.steps import STEP_BUILDERS, RowState, StructParams
 from sensorflow.schemas import CLEANABLE_FIELDS, EVENT_COLUMNS
-from sensorflow.session import work_dir
+from sensorflow.session import stored
 
 # A config table up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -96,11 +96,6 @@ def join_configs_as_of(
     spark, width = events.sparkSession, slice_seconds * 1_000_000
     key = ["routing_sensor", "cfg_job_id"]
 
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        folder = work_dir(spark, name)
-        rows.write.parquet(folder)
-        return spark.read.schema(rows.schema).parquet(folder)
-
     # A log is small beside the events, but resolving it is work for all cores.
     spread_log = log.where(F.col("registered_at").isNotNull()).repartition(spark.sparkContext.defaultParallelism)
     resolved = configs.prepared(spread_log, carry=("registered_at", "seq"))

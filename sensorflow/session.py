@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,3 +41,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table below the work folder: computed once, of a true size."""
+    spark = rows.sparkSession
+    folder = work_dir(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
