@@ -63,9 +63,17 @@ def _publish(spark: SparkSession, table: str, named: dict[int, str]) -> None:
         raise RuntimeError(f"another writer has committed version {number} of {table}")
 
 
+ATTEMPT = T.StructField("attempt", T.StringType())
+
+
+def attempt(batch: int) -> str:
+    """A new folder for an attempt to write a batch."""
+    return f"batches/attempt={batch}-{uuid.uuid4().hex}"
+
+
 def write(frame: DataFrame, table: str, batch: int, partition_by: Sequence[str] = ()) -> str:
     """The rows in a folder of their own, which no reader sees before `commit`."""
-    folder = f"batches/{batch}-{uuid.uuid4().hex}"
+    folder = attempt(batch)
     frame.write.partitionBy(*partition_by).parquet(f"{table}/{folder}")
     return folder
 
@@ -76,12 +84,19 @@ def commit(spark: SparkSession, table: str, folders: dict[int, str], drop: Seque
     _publish(spark, table, named | folders)
 
 
+def located(spark: SparkSession, table: str, schema: T.StructType, only=lambda batch: True):
+    """(reader, folders) of all batches, or of some; the rows have their `attempt` as well."""
+    chosen = [f"{table}/{f}" for b, f in sorted(batches(spark, table).items()) if only(b)]
+    whole = T.StructType([*schema.fields, ATTEMPT])
+    return spark.read.schema(whole).option("basePath", f"{table}/batches"), chosen
+
+
 def read(spark: SparkSession, table: str, schema: T.StructType, only=lambda batch: True) -> DataFrame:
     """The rows of all batches, or of some."""
-    chosen = [f"{table}/{f}" for b, f in sorted(batches(spark, table).items()) if only(b)]
+    reader, chosen = located(spark, table, schema, only)
     if not chosen:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*chosen)
+    return reader.parquet(*chosen).select(*schema.fieldNames())
 
 
 def clean(spark: SparkSession, table: str, older_than_ms: int) -> int:

@@ -1,18 +1,18 @@
 """The result store: full history, and the newest row per id, both in Parquet.
 
-Every batch writes below its own `batch_id=` folder with overwrite, so a batch that is
-replayed after a lost executor or a restart replaces what it wrote before.
+A batch that is replayed after a lost executor or a restart replaces what it wrote before,
+at once for readers (`committed`). The newest rows are a view of the history; compaction
+keeps it short.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorflow.schemas import RESULT
-from sensorflow.sinks import documents
+from sensorflow.sinks import committed, documents
 
 STORED = T.StructType(
     [
@@ -48,54 +48,35 @@ def newest(results: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(results: DataFrame, batch_id: int, output: str) -> None:
-    """Store one batch: its rows under history, its newest row per id under latest.
-
-    Rebalancing sizes the files of a collection and splits a collection that holds most
-    rows. The newest rows are taken from the written history, so results are computed once.
-    """
-    spark = results.sparkSession
-    stamped = (
+def stamped(results: DataFrame, batch_id: int) -> DataFrame:
+    """Identified rows with their batch and the time they are written."""
+    return (
         documents.identified(results)
         .withColumn("processed_at", F.current_timestamp())
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .select(*STORED.fieldNames())
     )
-    history = f"{output}/history/batch={batch_id}"
-    (
-        stamped.hint("rebalance", "collection")
-        .write.mode("overwrite")
-        .partitionBy("collection")
-        .parquet(history)
-    )
-    written = spark.read.schema(STORED).parquet(history)
-    # An empty batch is written too: it may replay one whose rows must not stay.
-    (
-        newest(written)
-        .select(*STORED.fieldNames())
-        .write.mode("overwrite")
-        .partitionBy("collection")
-        .parquet(f"{output}/latest/batch={batch_id}")
-    )
 
 
-_PARTITIONED = T.StructType([*STORED.fields, T.StructField("batch", T.LongType())])
+def write_batch(results: DataFrame, batch_id: int, output: str) -> None:
+    """Store one batch, once; an empty one too, for it may replay one whose rows must not stay.
+
+    Rebalancing sizes the files of a collection and splits a collection that holds most
+    rows.
+    """
+    rows = stamped(results, batch_id).hint("rebalance", "collection")
+    folder = committed.write(rows, f"{output}/history", batch_id, ["collection"])
+    committed.commit(results.sparkSession, f"{output}/history", {batch_id: folder})
 
 
 def history(spark: SparkSession, output: str) -> DataFrame:
     """Every result row ever written."""
-    return spark.read.schema(_PARTITIONED).parquet(f"{output}/history").drop("batch")
+    return committed.read(spark, f"{output}/history", STORED)
 
 
-def _compacted(spark: SparkSession, output: str) -> tuple[DataFrame | None, int]:
-    """The last compacted table and the batch it reaches to; none before the first."""
-    schema = T.StructType([*STORED.fields, T.StructField("upto", T.LongType())])
-    try:
-        base = spark.read.schema(schema).parquet(f"{output}/base")
-    except AnalysisException:
-        return None, -1
-    upto = base.agg(F.max("upto")).first()[0]
-    return (None, -1) if upto is None else (base.where(F.col("upto") == upto).drop("upto"), upto)
+def _upto(spark: SparkSession, output: str) -> int:
+    """The batch that the compacted table reaches to; -1 before there is one."""
+    return max(committed.batches(spark, f"{output}/base"), default=-1)
 
 
 def latest(spark: SparkSession, output: str) -> DataFrame:
@@ -103,25 +84,36 @@ def latest(spark: SparkSession, output: str) -> DataFrame:
 
     Reading one collection prunes to its folders.
     """
-    base, upto = _compacted(spark, output)
-    recent = spark.read.schema(_PARTITIONED).parquet(f"{output}/latest")
-    recent = recent.where(F.col("batch") > upto).drop("batch")
-    return newest(recent if base is None else base.unionByName(recent))
+    upto = _upto(spark, output)
+    recent = committed.read(spark, f"{output}/history", STORED, lambda b: b > upto)
+    if upto < 0:
+        return newest(recent)
+    return newest(committed.read(spark, f"{output}/base", STORED).unionByName(recent))
 
 
 def compact(spark: SparkSession, output: str, upto: int) -> None:
-    """Write the newest row per id of all batches up to `upto` as one table.
+    """Write the newest row per id of all batches up to `upto` as one table, and the batches
+    it takes in as one batch of the history.
 
-    Run it between batches. A reader takes the table that reaches furthest; writing one
-    again gives the same rows. Files of the batches it holds may then be deleted.
+    Run it between batches; what no longer counts goes with `clean`.
     """
-    base, before = _compacted(spark, output)
+    before = _upto(spark, output)
     if before >= upto:
         return
-    batches = spark.read.schema(_PARTITIONED).parquet(f"{output}/latest")
-    batches = batches.where(F.col("batch").between(before + 1, upto)).drop("batch")
-    rows = newest(batches if base is None else base.unionByName(batches)).select(*STORED.fieldNames())
-    rows.write.mode("overwrite").partitionBy("collection").parquet(f"{output}/base/upto={upto}")
+    taken = [b for b in committed.batches(spark, f"{output}/history") if before < b <= upto]
+    rows = committed.read(spark, f"{output}/history", STORED, lambda b: b in taken)
+    base = rows if before < 0 else committed.read(spark, f"{output}/base", STORED).unionByName(rows)
+    kept = newest(base).select(*STORED.fieldNames()).hint("rebalance", "collection")
+    folder = committed.write(kept, f"{output}/base", upto, ["collection"])
+    if len(taken) > 1:
+        merged = committed.write(rows.hint("rebalance", "collection"), f"{output}/history", upto, ["collection"])
+        committed.commit(spark, f"{output}/history", {max(taken): merged}, drop=taken)
+    committed.commit(spark, f"{output}/base", {upto: folder}, drop=[before])
+
+
+def clean(spark: SparkSession, output: str, older_than_ms: int = 3_600_000) -> int:
+    """Removes files that no longer count and that no reader started before can still use."""
+    return sum(committed.clean(spark, f"{output}/{t}", older_than_ms) for t in ("history", "base"))
 
 
 def upsert_writer(output: str, compact_every: int = 50):
@@ -130,6 +122,7 @@ def upsert_writer(output: str, compact_every: int = 50):
     def write(results: DataFrame, batch_id: int) -> None:
         if batch_id and batch_id % compact_every == 0:
             compact(results.sparkSession, output, batch_id - 1)
+            clean(results.sparkSession, output)
         write_batch(results, batch_id, output)
 
     return write
