@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -44,10 +44,11 @@ from sensorflow.llm.token_counts import byte_letters
 from sensorflow.session import work_dir
 
 RADIXES = 16
-RUN_LINKS = 1 << 21
+RUN_LINKS = 1 << 20
 FAN = 256
 RUNS_AT_ONCE = 64
 CACHE_ENTRIES = 300_000
+AT_ONCE = 2048
 
 RUNS = "kind string, run long, radix int, data binary"
 RESULT = (
@@ -75,6 +76,20 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 # Aligning -------------------------------------------------------------------
 
 
+class Side:
+    """The bytes of each id, end to end."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(e) for e in entries], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.store = np.frombuffer(b"".join(entries), dtype=np.uint8)
+
+
+def digest(groups: bytes) -> str:
+    """Of the groups of a text as `align` writes them; empty without any."""
+    return hashlib.sha256(groups[:-1]).hexdigest() if groups else ""
+
+
 class Aligner:
     """Tokens of both sides for chunks that begin with the space that B adds."""
 
@@ -83,11 +98,13 @@ class Aligner:
         self.a.encode_special_tokens = True
         byte_of = {c: i for i, c in enumerate(byte_letters())}
         entries = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in entry)
+            a_bytes[i] = bytes(byte_of[c] for c in entry)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_side, self.b_side = Side(a_bytes), Side(b_bytes)
+        self.numbers = Side([b"%d," % i for i in range(max(len(a_bytes), len(b_bytes)))])
         self.clear()
         self.known = Cache(self._add, CACHE_ENTRIES)
 
@@ -102,53 +119,88 @@ class Aligner:
         self.pairs = np.zeros(0, dtype=np.int64)
         self.written: list[bytes] = []
 
-    def both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; each text begins with the space that B puts there itself."""
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        return a, self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
-
-    def aligned(self, text: bytes, a: list[int], b: list[int]):
-        """(n_a, n_b, n_groups, n_links), the linked pairs, the groups as text; or None."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != text or b"".join(b_bytes) != text:
-            return None
-        pairs, groups = [], []
-        i = j = first_a = first_b = 0
-        a_end, b_end = len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            pairs.append(b[j] << 32 | a[i])
-            ends = a_end - b_end
-            if ends <= 0:
-                i += 1
-            if ends >= 0:
-                j += 1
-            if ends == 0:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i == len(a):
-                    return (i, j, len(groups), len(pairs)), pairs, ";".join(groups).encode()
-            if ends <= 0:
-                a_end += len(a_bytes[i])
-            if ends >= 0:
-                b_end += len(b_bytes[j])
+    def both(self, texts: list[str]):
+        """Ids of both sides end to end, and how many each text has, a few texts at a time.
+
+        Each text begins with the space that B puts there itself.
+        """
+        flat = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]]
+        counts: list[list[int]] = [[], []]
+        for k in range(0, len(texts), AT_ONCE):
+            some = texts[k : k + AT_ONCE]
+            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.b.encode([t[1:] for t in some], num_threads=1)
+            for side, ids in enumerate((a, b)):
+                counts[side] += map(len, ids)
+                flat[side].append(np.fromiter(chain.from_iterable(ids), dtype=np.int64))
+        return [np.concatenate(f) for f in flat], [np.array(c, dtype=np.int64) for c in counts]
+
+    def _valid(self, side: Side, ids, owner, data, bounds, good) -> None:
+        """Clears `good` where the tokens of a text are not its bytes."""
+        sizes = np.bincount(owner, weights=side.sizes[ids], minlength=len(good)).astype(np.int64)
+        good &= sizes == np.diff(bounds)
+        own = ids[good[owner]]
+        made = side.store[W.ragged(side.starts[own], side.sizes[own])]
+        which = np.flatnonzero(good)
+        given = data[W.ragged(bounds[which], sizes[which])]
+        unlike = np.flatnonzero(made != given)
+        good[which[np.searchsorted(np.cumsum(sizes[which]), unlike, side="right")]] = False
+
+    def align(self, texts: list[bytes]):
+        """Of each text: whether both sides give its bytes; (n_a, n_b, n_groups, n_links);
+        and the linked pairs of all, end to end, and the groups as text, each ended by `;`.
+        """
+        n = len(texts)
+        (a, b), counts = self.both([t.decode() for t in texts])
+        owners = [np.repeat(np.arange(n), c) for c in counts]
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        good = np.diff(bounds) > 0
+        for side, ids, owner in zip((self.a_side, self.b_side), (a, b), owners):
+            self._valid(side, ids, owner, data, bounds, good)
+        a, b = a[good[owners[0]]], b[good[owners[1]]]
+        a_ends, b_ends = np.cumsum(self.a_side.sizes[a]), np.cumsum(self.b_side.sizes[b])
+        # Between two neighbouring ends of either side lies just one overlap.
+        ends = np.union1d(a_ends, b_ends)
+        pairs = b[np.searchsorted(b_ends, ends)] << 32 | a[np.searchsorted(a_ends, ends)]
+        closed = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        stops = np.cumsum(np.where(good, np.diff(bounds), 0))
+
+        def per_text(places):
+            return np.diff(np.searchsorted(places, stops, side="right"), prepend=0)
+
+        sizes = np.stack([per_text(x) for x in (a_ends, b_ends, closed, ends)], axis=1)
+        a_group, b_group = np.searchsorted(closed, a_ends), np.searchsorted(closed, b_ends)
+        a_done = np.cumsum(np.bincount(a_group, minlength=len(closed)))
+        b_count = np.bincount(b_group, minlength=len(closed))
+        place = np.concatenate(
+            [np.arange(len(a)) + (np.cumsum(b_count) - b_count)[a_group], np.arange(len(b)) + a_done[b_group]]
+        )
+        ids, marks = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.uint8)
+        ids[place] = np.concatenate([a, b])
+        last = [np.append(g[1:] != g[:-1], True)[: len(g)] for g in (a_group, b_group)]
+        marks[place] = np.concatenate([np.where(last[0], ord("|"), ord(",")), np.where(last[1], ord(";"), ord(","))])
+        letters = self.numbers.store[W.ragged(self.numbers.starts[ids], self.numbers.sizes[ids])]
+        stop = np.cumsum(self.numbers.sizes[ids])
+        letters[stop - 1] = marks
+        raw = letters.tobytes()
+        cuts = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes[:, 0] + sizes[:, 1])])].tolist()
+        return good, sizes, pairs, [raw[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _add(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Aligns new chunks; their only id is their number in the arrays here."""
         if not len(self.known.starts):
             self.clear()
         first = len(self.good)
-        good, sizes, pairs = [], [], []
-        for chunk, a, b in zip(chunks, *self.both([c.decode() for c in chunks])):
-            size, links, text = self.aligned(chunk, a, b) or ((0, 0, 0, 0), [], None)
-            good.append(text is not None)
-            sizes.append(size)
-            pairs += links
-            self.written.append(text or b"")
-        sizes = np.array(sizes, dtype=np.int64).reshape(-1, 4)
+        parts = [self.align(chunks[k : k + 16 * AT_ONCE]) for k in range(0, len(chunks), 16 * AT_ONCE)]
+        good, sizes, pairs, texts = zip(*parts)
+        sizes = np.concatenate(sizes)
         self.starts = np.append(self.starts, len(self.pairs) + np.cumsum(sizes[:, 3]) - sizes[:, 3])
-        self.good = np.append(self.good, good).astype(bool)
+        self.good = np.concatenate([self.good, *good])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pairs = np.append(self.pairs, np.array(pairs, dtype=np.int64))
+        self.pairs = np.concatenate([self.pairs, *pairs])
+        for some in texts:
+            self.written += some
         return np.arange(first, len(self.good), dtype=np.uint32), np.ones(len(chunks), dtype=np.int64)
 
     def slice(self, texts: W.Texts):
@@ -163,17 +215,14 @@ class Aligner:
         wrong = np.flatnonzero(wrong[bounds[1:]] - wrong[bounds[:-1]])
         digests, numbers, edges = [], number.tolist(), bounds.tolist()
         for a, b in zip(edges, edges[1:]):
-            joined = b";".join([self.written[n] for n in numbers[a:b]])
-            digests.append(hashlib.sha256(joined).hexdigest() if a < b else "")
+            digests.append(digest(b"".join([self.written[n] for n in numbers[a:b]])))
         pairs = self.pairs[W.ragged(self.starts[number], self.sizes[number, 3])]
         if len(wrong):
             parts = np.split(pairs, np.cumsum(sizes[:, 3])[:-1])
             for k in wrong.tolist():
                 text = texts.data[texts.bounds[k] : texts.bounds[k + 1]].tobytes()
-                (a,), (b,) = self.both([text.decode()])
-                size, links, joined = self.aligned(text, a, b) or ((0, 0, 0, 0), [], None)
-                sizes[k], parts[k] = size, np.array(links, dtype=np.int64)
-                digests[k] = "" if joined is None else hashlib.sha256(joined).hexdigest()
+                _, (sizes[k],), parts[k], (joined,) = self.align([text])
+                digests[k] = digest(joined)
             pairs = np.concatenate(parts)
         return sizes, digests, pairs
 
