@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sensorflow.catalog.common import events, source
 from sensorflow.catalog.configurations import activity, registrations
 from sensorflow.functions import scalars
+from sensorflow.operators import configs
 from sensorflow.session import use_utc, work_dir
 from sensorflow.sinks import documents
-from sensorflow.sources import messages
+from sensorflow.sources import messages, streams
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +73,13 @@ def _parsed_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first registration of each sensor, written as a file of its own and read back."""
-    rows = registrations(activity(spark, sf_dir)).withColumn("sensor", F.col("transformations")[0]["params"]["sensor"])
-    first = rows.groupBy("sensor").agg(F.min_by(F.struct("jobId", "transformations"), "seq").alias("c"))
+    """The last registration of every job and sensor, written as a file of its own and read back."""
+    rows = registrations(activity(spark, sf_dir), jobs=50)
+    last = configs.latest_configs(rows).select(
+        F.struct("jobId", "transformations").alias("c"), F.concat_ws("-", "routing_sensor", "jobId").alias("file")
+    )
     folder = work_dir(spark, "job-files")
-    first.select(F.to_json("c").alias("value"), F.col("sensor").alias("file")).write.partitionBy("file").text(folder)
+    last.select(F.to_json("c").alias("value"), "file").write.partitionBy("file").text(folder)
     return messages.read_job_files(spark, folder).select(
         F.col("jobId").alias("job_id"),
         F.col("transformations")[0]["params"]["sensor"].alias("sensor"),
@@ -84,6 +87,34 @@ def _job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FILES = 8
+
+
+def _by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations as lines of some files: of a job's lines in a file the last one counts."""
+    rows = registrations(activity(spark, sf_dir)).withColumn("file", F.col("seq") % FILES)
+    folder = work_dir(spark, "config-lines")
+    (
+        rows.select(F.to_json(F.struct("jobId", "transformations")).alias("value"), "file", "seq")
+        .repartition(FILES, "file")
+        .sortWithinPartitions("file", "seq")
+        .select("value", "file")
+        .write.partitionBy("file")
+        .text(folder)
+    )
+    read = messages.parse_configs(streams.read_folder(spark, folder))
+    last = read.withColumn("sensor", configs.routing_key(F.col("transformations"))).groupBy("arrival.source", "sensor", "jobId").agg(
+        F.max_by("transformations", "arrival").alias("last"), F.count("*").alias("n")
+    )
+    return last.select(
+        F.regexp_extract("source", "file=([0-9]+)", 1).cast("long").alias("file"),
+        "sensor",
+        F.col("jobId").alias("job_id"),
+        F.col("last")[0]["params"]["threshold"].try_cast("double").alias("threshold"),
+        "n",
+    )
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = use_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
     dirty = F.concat(F.encode("event_type", "utf-8"), F.unhex(F.lit("FF")), F.encode("props", "utf-8"))
@@ -135,8 +166,13 @@ QUERIES = {
     ),
     "job_files": (
         _job_files,
-        "SELECT 'job-' || (arg_min(user_id, event_id) % 4) AS job_id, event_type AS sensor, "
-        "arg_min(value, event_id) AS threshold FROM events GROUP BY event_type",
+        "SELECT 'job-' || (user_id % 50) AS job_id, event_type AS sensor, arg_max(value, event_id) AS threshold "
+        "FROM events GROUP BY 1, 2",
+    ),
+    "config_by_place": (
+        _by_place,
+        "SELECT event_id % 8 AS file, event_type AS sensor, 'job-' || (user_id % 4) AS job_id, "
+        "arg_max(value, event_id) AS threshold, count(*) AS n FROM events GROUP BY 1, 2, 3",
     ),
     "decode_utf8": (
         _decoded,

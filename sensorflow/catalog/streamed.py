@@ -22,7 +22,7 @@ from sensorflow.catalog.configurations import activity
 from sensorflow.operators import configs
 from sensorflow.plans.job import jobs_frame
 from sensorflow.schemas import EVENT_COLUMNS
-from sensorflow.session import STATE_STORE, use_utc, work_dir
+from sensorflow.session import STATE_STORE, stored, use_utc, work_dir
 from sensorflow.sinks import publish, store
 from sensorflow.sources import messages, streams
 from sensorflow.sources.tables import activity_columns
@@ -79,6 +79,33 @@ def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(newest.select("_id", "window", "r.*"))
 
 
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is stopped half-way: the state it left behind, and the results after its restart."""
+    output = work_dir(spark, "recovery")
+    rows = activity(spark, sf_dir)
+    columns = activity_columns()
+    state = None
+    for number in range(2):
+        rows.where(F.col("event_id") % 2 == number).write.parquet(f"{output}/activity/part={number}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
+        results = start.fixed_job_results(
+            arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS]), [MAX_BY_LOCATION], HOUR, event_time=True
+        )
+        with _stream_settings(spark):
+            query = start.start(results, f"{output}/store", f"{output}/checkpoint", "update", availableNow=True)
+        query.awaitTermination()
+        if not number:
+            # Stored, for the restart goes on to change it.
+            state = stored(start.open_windows(spark, f"{output}/checkpoint"), "open-windows")
+    found = store.history(spark, f"{output}/store")
+    newest = found.groupBy("_id", "window").agg(
+        F.max_by(F.struct("grouping_key", "result_double"), "batch_id").alias("r")
+    )
+    open_ = state.select(F.lit("state").alias("seen"), window_start().alias("window_start"), "grouping_key", F.round("high", 6).alias("result"))
+    done = newest.select(F.lit("result").alias("seen"), window_start().alias("window_start"), "r.grouping_key", F.round("r.result_double", 6).alias("result"))
+    return open_.unionByName(done)
+
+
 def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the stream that don't parse, kept by reason."""
     output = work_dir(spark, "refused")
@@ -194,6 +221,12 @@ QUERIES = {
         _event_time,
         windowed_sql("hourly-max", "max", "sensor = 'click' AND measurement > 5"),
     ),
+    "stream_recovery": (
+        _recovered,
+        "SELECT seen, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start, "
+        f"location AS grouping_key, round(max(measurement), 6) AS result FROM {source()}, (VALUES ('state', 1), ('result', 2)) AS p(seen, parts) "
+        "WHERE sensor = 'click' AND measurement > 5 AND event_id % 2 < parts GROUP BY 1, 2, 3",
+    ),
     "stream_live_config": (
         _live,
         f"""

@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorflow.functions.vocabulary import DEFAULT_WINDOW_SECONDS
@@ -70,6 +71,25 @@ def start(
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream of event-time windows keeps in its state after its last batch.
+
+    Read from the checkpoint of a stream that has stopped, crashed or is running: group,
+    window, and what its values come to so far.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    keys = {f.name: F.col(f"key.`{f.name}`") for f in state.schema["key"].dataType}
+    # The buffers stand in the order of the accumulators; several have one name.
+    first = ("total", "n", "low", "high")
+    buffers = T.StructType(
+        [T.StructField(first[i] if i < 4 else f"other{i}", f.dataType) for i, f in enumerate(state.schema["value"].dataType)]
+    )
+    window = next(c for n, c in keys.items() if n.startswith("window"))
+    named = [keys[n].alias(n) for n in aggregates.GROUP]
+    held = state.select(window.alias("window"), *named, F.col("value").cast(buffers).alias("b"))
+    return held.select("window", *aggregates.GROUP, *[F.col("b")[n].alias(n) for n in first])
+
+
 def start_quarantine(parsed: DataFrame, output: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep refused messages, by reason."""
     return (
