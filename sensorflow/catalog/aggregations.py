@@ -252,6 +252,27 @@ _UNION_SQL = union_sql(
 )
 
 
+_ANY_SENSOR = job("any-order", aggregation("sum", key_by="sensor", sensor="signup"))
+
+
+def _unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which many arrived together, and some have no order of arrival at all."""
+    seq = F.col("arrival_seq")
+    order = F.when(F.dayofmonth("event_ts") % 3 == 0, F.lit(None)).when(seq % 2 == 0, F.floor(seq / 1000))
+    rows = events(spark, sf_dir).withColumn("arrival_seq", order.cast("long"))
+    return windowed(compiled.run_job(rows, _ANY_SENSOR, DAY))
+
+
+_UNORDERED_SQL = f"""
+WITH o AS (
+  SELECT *, time_bucket(INTERVAL '1 day', ts) AS start,
+    CASE WHEN day(ts) % 3 <> 0 AND event_id % 2 = 0 THEN event_id // 1000 END AS seq FROM {source()} WHERE sensor = 'signup')
+SELECT 'any-order' AS job_id, strftime(start, '%Y-%m-%dT%H:%M:%SZ') AS window_start, 'sensor' AS grouping_field,
+  sensor AS grouping_key, 'sum' AS aggregation_type, 'measurement' AS field, round(sum(measurement), 6) AS result_double,
+  CAST(NULL AS VARCHAR) AS result_string, sensor AS sensor_type, 'units' AS measurement_unit,
+  first(location ORDER BY seq NULLS LAST, location) AS location, min(seq) AS first_event_id FROM o GROUP BY start, sensor
+"""
+
 _SENSORS = ("click", "view", "purchase", "signup", "error")
 
 
@@ -361,6 +382,7 @@ QUERIES = {
         "SELECT 'span' AS aggregation_type, 'room-' || (user_id % 8) AS grouping_key, strftime(ts, '%Y-%m-%d') AS day, "
         "round(max(value * 2) - min(value * 2), 6) AS span FROM events WHERE event_type = 'view' GROUP BY 2, 3",
     ),
+    "agg_context_unordered": (_unordered, _UNORDERED_SQL),
     "many_jobs": (_many, _MANY_SQL),
     "compiled_all_jobs": (_all_compiled, ALL_JOBS_SQL),
     "data_driven_all_jobs": (_all_data_driven, ALL_JOBS_SQL),

@@ -147,7 +147,44 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHAIN_WHERE = "sensor = 'purchase' AND measurement > 20 AND least(1.0, measurement / 200) < 0.5"
 _NAMED = source(named_sensors=True)
 
+_TOLERANT = job(
+    "tolerant",
+    element("normalize", sensor="click", min=10, max=110),
+    element("to_uppercase", field="location"),
+    element("trim_whitespace", field="measurement_unit"),
+    element("normalize", field="no such field", min=0, max=1),
+)
+
+
+def _tolerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that meet null, NaN and fields that are not there leave these as they were."""
+    gaps = events(spark, sf_dir)
+    turn = F.col("arrival_seq") % 4
+    gaps = gaps.withColumns(
+        {
+            "measurement": F.when(turn == 1, F.lit(float("nan"))).when(turn != 0, F.col("measurement")),
+            "location": F.when(turn != 2, F.col("location")),
+            "measurement_unit": F.when(turn != 3, F.col("measurement_unit")),
+        }
+    )
+    kept = compiled.apply_elements(gaps, _TOLERANT)
+    return kept.select(
+        F.col("arrival_seq").alias("event_id"),
+        F.when(F.isnan("measurement"), "nan").when(F.col("measurement").isNull(), "null").otherwise("number").alias("kind"),
+        F.when(~F.isnan("measurement"), F.round("measurement", 6)).alias("measurement"),
+        "location",
+        "measurement_unit",
+    )
+
+
 QUERIES = {
+    "step_tolerance": (
+        _tolerated,
+        "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'nan' ELSE 'number' END AS kind, "
+        "CASE WHEN event_id % 4 >= 2 THEN round(least(1.0, greatest(0.0, (measurement - 10) / 100)), 6) END AS measurement, "
+        "CASE WHEN event_id % 4 <> 2 THEN upper(location) END AS location, "
+        f"CASE WHEN event_id % 4 <> 3 THEN unit END AS measurement_unit FROM {source()} WHERE sensor = 'click'",
+    ),
     "filter_greater": (
         _passthrough(_GREATER),
         passed_sql("greater", "sensor = 'click' AND measurement > 50"),

@@ -19,6 +19,8 @@ GROUP = ("job_id", "grouping_field", "grouping_key", "aggregation_type", "field"
 CONTEXT = ("sensor", "measurement_unit", "location", "steps_hash")
 
 INF = float("inf")
+# Stands for the arrival order of a row that has none.
+UNORDERED = (1 << 63) - 1
 
 
 def _unless(v: Column, extreme: float) -> Column:
@@ -65,8 +67,14 @@ def merged_accumulators() -> list[Column]:
 
 
 def first_context(seq: str, context: Sequence[str] = CONTEXT) -> Column:
-    """Context columns of the earliest row; ties fall back on the values themselves."""
-    return F.min_by(F.struct(*context), F.struct(seq, *context)).alias("context")
+    """Context columns of the earliest row.
+
+    Rows without an order of arrival come last. Of rows that arrived together, or of which
+    none has an order, the one with the least values counts, null before all, so that
+    partial results merge to one context in any order.
+    """
+    arrival = F.coalesce(F.col(seq), F.lit(UNORDERED)).alias("seq")
+    return F.min_by(F.struct(*context), F.struct(arrival, *context)).alias("context")
 
 
 def aggregate_windows(inputs: DataFrame, seconds: int) -> DataFrame:

@@ -62,7 +62,9 @@ def batch_fold(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterat
         for pdf in batches:
             if pdf.empty:
                 continue
-            ordered = pdf.sort_values("seq", kind="stable")
+            # The earliest row first; of equal ones that with the least values, null before all.
+            words = [c for c in pdf.columns if c not in (*keys, *NUMBER_NAMES)]
+            ordered = pdf.sort_values(["seq", *words], kind="stable", na_position="first")
             groups = ordered.groupby(keys, dropna=False, sort=False)
             folded = groups.agg({**FOLDS, "seq": "min"}).reset_index()
             # Context comes from the earliest row of each group, in the same group order.
@@ -106,7 +108,7 @@ class ClockWindows(StatefulProcessor):
     def _fold(self, acc, pdf: pd.DataFrame):
         if pdf.empty:
             return acc
-        first = pdf.loc[pdf["seq"].idxmin()]
+        first = pdf.sort_values(["seq", *self.context], kind="stable", na_position="first").iloc[0]
         seen = {
             "total": float(pdf["total"].sum()),
             "nans": int(pdf["nans"].sum()),
@@ -121,8 +123,13 @@ class ClockWindows(StatefulProcessor):
         if acc is None:
             return (*[seen[n] for n in NUMBER_NAMES], *words)
         old = dict(zip(NUMBER_NAMES, acc, strict=False))
-        if old["seq"] <= seen["seq"]:
-            words = list(acc[len(NUMBER_NAMES) :])
+        before = list(acc[len(NUMBER_NAMES) :])
+
+        def place(seq, values):
+            return seq, [(v is not None, v or "") for v in values]
+
+        if place(old["seq"], before) <= place(seen["seq"], words):
+            words = before
         merged = {
             "total": old["total"] + seen["total"],
             "nans": old["nans"] + seen["nans"],

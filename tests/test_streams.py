@@ -15,7 +15,7 @@ from sensorflow.plans.job import jobs_frame
 from sensorflow.sinks import committed, publish, store
 from sensorflow.sources import messages, streams
 from sensorflow.streaming import registry, start
-from sensorflow.streaming.processors import batch_fold
+from sensorflow.streaming.processors import ClockWindows, batch_fold
 
 JOBS = [
     job("hot", step("filter_greater", sensor="t", threshold=1), step("sum", "location", sensor="t")),
@@ -226,3 +226,19 @@ def test_fold_keeps_the_context_of_the_earliest_row(order):
     assert (one["total"], one["nans"], one["n"], one["low"], one["high"], one["low_us"], one["seq"]) == (3.0, 1, 2, 1.0, 2.0, 3, 2)
     assert pd.isna(one["sensor"]) and by_field[None]["sensor"] == "x"
     assert list(out.columns) == list(pdf.columns)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]])
+def test_fold_of_rows_that_arrived_together(order):
+    base = dict.fromkeys(GROUP, "g") | {"total": 1.0, "nans": 0, "n": 1, "low": 1.0, "high": 1.0, "low_us": 5, "high_us": 5}
+    last = (1 << 63) - 1
+    rows = [{**base, "seq": s, "sensor": w} for s, w in ((4, "b"), (4, "a"), (4, None), (last, None))]
+    (out,) = batch_fold(GROUP)(iter([pd.DataFrame([rows[i] for i in order])]))
+    assert pd.isna(out["sensor"][0]) and out["seq"][0] == 4 and out["n"][0] == 4
+    (out,) = batch_fold(GROUP)(iter([pd.DataFrame([rows[i] for i in order if i != 2])]))
+    assert out["sensor"][0] == "a"
+    windows = ClockWindows(1, GROUP, ["sensor"])
+    acc = None
+    for i in order:
+        acc = windows._fold(acc, pd.DataFrame([rows[i]]))
+    assert acc[-1] is None and acc[-2] == 4
