@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorflow.llm.spans import FOUND, apart, clean_text, digits, listed, matches, number_of
+from sensorflow.llm.spans import FOUND, bound, clean_text, count_before, digits, free, listed, matches, number_of
 from sensorflow.llm.tables import written
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -89,15 +89,22 @@ def candidates(base: Column, alone: Column, joined: Column) -> Column:
     A run by itself is a candidate beside the groups it is part of, since its own context
     may be the one that is known; the first of the groups has the same context as all.
     """
-    free = lambda found: F.filter(found, lambda s: apart(s["start"], s["end"], base))
-    whole = free(joined)
-    around = lambda s: F.get(F.filter(whole, lambda w: (w["start"] <= s["start"]) & (s["end"] <= w["end"])), F.lit(0))
-    place = lambda s: F.struct(F.coalesce(around(s)["start"], s["start"]).alias("run"), s.alias("s"))
-    parts = F.transform(free(alone), place)
-    return F.concat(
-        F.transform(whole, lambda s: F.struct(s["start"].alias("run"), s.alias("s"))),
-        F.filter(parts, lambda p: (p["run"] < p["s"]["start"]) | around(p["s"]).isNull()),
-    )
+    def placed(whole: Column) -> Column:
+        def around(s: Column) -> Column:
+            # Runs of groups don't overlap, so only the last that starts no later can hold the span.
+            run = F.get(whole, count_before(whole, s["start"] + 1) - 1)
+            return F.when(s["end"] <= run["end"], run["start"])
+
+        place = lambda s: F.struct(F.coalesce(around(s), s["start"]).alias("run"), around(s).isNull().alias("single"), s.alias("s"))
+        parts = F.filter(
+            F.transform(free(alone, base, len(KINDS)), place), lambda p: (p["run"] < p["s"]["start"]) | p["single"]
+        )
+        return F.concat(
+            F.transform(whole, lambda s: F.struct(s["start"].alias("run"), s.alias("s"))),
+            F.transform(parts, lambda p: F.struct(p["run"].alias("run"), p["s"].alias("s"))),
+        )
+
+    return bound(free(joined, base, len(KINDS)), placed)
 
 
 def pattern_of(before: Column) -> Column:

@@ -16,12 +16,14 @@ result. Other columns are kept by `redacted` and not read otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorflow.llm.spans import FOUND, apart, clean_text, listed, matches, number_of
+from sensorflow.llm.spans import FOUND, bound, clean_text, free, listed, matches, number_of
 from sensorflow.llm.tables import written
 
+# Code points of a block of text.
+BLOCK = 4096
 KINDS = ["assign", "access", "hex", "generic"]
 BASE = KINDS[:3]
 ASSIGN = (
@@ -69,7 +71,7 @@ def generic_spans(text: Column, base: Column) -> Column:
     mixed = lambda hit: (
         hit.rlike("[0-9][^0-9]+[0-9]") & hit.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 10)
     )
-    return F.filter(matches(text, 3, GENERIC, mixed), lambda s: apart(s["start"], s["end"], base))
+    return bound(matches(text, 3, GENERIC, mixed), lambda found: free(found, base, len(BASE)))
 
 
 def _with_spans(rows: DataFrame) -> DataFrame:
@@ -78,8 +80,11 @@ def _with_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def _verdicts(found: DataFrame, most_owners: int, most_repositories: int) -> DataFrame:
-    """row, verdict by span: `found` has row, owner, repository, base and generic."""
+def _judged(found: DataFrame, most_owners: int, most_repositories: int) -> DataFrame:
+    """row, s, live and repositories of every span to report.
+
+    `found` has row, owner, repository, base and generic.
+    """
     spans = found.select("row", "owner", "repository", F.explode(F.concat("base", "generic")).alias("s")).withColumn(
         "hash", F.unhex(F.sha2(_value(F.col("s.hit"), F.col("s.kind")), 256))
     )
@@ -92,8 +97,8 @@ def _verdicts(found: DataFrame, most_owners: int, most_repositories: int) -> Dat
         "ownership",
     )
     judged = spans.join(ownership, "hash").where((F.col("s.kind") < 3) | (F.col("owners") <= most_owners))
-    live = ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live")
-    return judged.groupBy("row").agg(F.collect_list(F.struct("s", live, "repositories")).alias("judged"))
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    return judged.select("row", "s", live.alias("live"), "repositories")
 
 
 def find(
@@ -110,7 +115,8 @@ def find(
         )
     ).drop("text")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    judged = _verdicts(found.where("size(base) + size(generic) > 0"), most_owners, most_repositories)
+    judged = _judged(found.where("size(base) + size(generic) > 0"), most_owners, most_repositories)
+    judged = judged.groupBy("row").agg(F.collect_list(F.struct("s", "live", "repositories")).alias("judged"))
     spans = F.transform("judged", lambda j: j["s"])
     return found.join(judged, "row", "left").select(
         "doc_id",
@@ -153,13 +159,11 @@ def redacted(
     )
     has_spans = F.size("base") + F.size("generic") > 0
     touched = written(rows.where(has_spans).withColumn("row", F.monotonically_increasing_id()), "touched")
-    judged = _verdicts(touched.select("row", "owner", "repository", "base", "generic"), most_owners, most_repositories)
-    cut = F.array_sort(
-        F.transform("judged", lambda j: F.struct(j["s"]["start"].alias("start"), j["s"]["end"].alias("end"), j["live"].alias("live")))
-    )
-    text = F.when(F.col("judged").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), cut))
+    judged = _judged(touched.select("row", "owner", "repository", "base", "generic"), most_owners, most_repositories)
+    cut = _joined(judged.select("row", "s.start", "s.end", "live"))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("cut")))
     changed = (
-        touched.join(judged, "row", "left")
+        touched.join(cut, "row", "left")
         .withColumn("new_text", text)
         .select(
             F.col("doc")
@@ -172,31 +176,43 @@ def redacted(
     return rows.where(~has_spans).select("doc.*").unionByName(changed)
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """row and cut: the spans of a row in order, those that overlap as one."""
+    order = Window.partitionBy("row").orderBy("start", "end")
+    covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (covered.isNull() | (F.col("start") >= covered)).cast("int")
+    number = F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = (
+        spans.withColumn("begins", begins)
+        .withColumn("number", number)
+        .groupBy("row", "number")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("live").alias("live"))
+    )
+    return whole.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("cut"))
+
+
 def _replaced(text: Column, spans: Column) -> Column:
-    """The text with sorted spans replaced; spans that overlap are joined first."""
-    kind = "array<struct<start:int,end:int,live:boolean>>"
-
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.struct(
-            last["start"].alias("start"),
-            F.greatest(last["end"], s["end"]).alias("end"),
-            (last["live"] | s["live"]).alias("live"),
-        )
-        return F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both)),
-        ).otherwise(F.concat(done, F.array(s)))
+    """The text with marks in place of the spans, which are in order and don't overlap.
 
-    merged = F.aggregate(spans.cast(kind), F.array().cast(kind), join)
+    Pieces are taken out of blocks of the text, so that a place far behind is not counted
+    out from the beginning.
+    """
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        inside = lambda n: F.coalesce(F.get(blocks, n), F.lit(""))
+        whole = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(inside(first), start % BLOCK + 1, end - start)).otherwise(
+            F.concat(F.substring(inside(first), start % BLOCK + 1, F.lit(BLOCK)), whole, F.substring(inside(last), F.lit(1), end % BLOCK))
+        )
 
-    def piece(state: Column, s: Column) -> Column:
-        mark = F.when(s["live"], "[SECRET]").otherwise("[EXAMPLE]")
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(gap, mark)).alias("parts"))
+    def marked(state: Column) -> Column:
+        blocks, ends = state["blocks"], state["ends"]
+        mark = lambda s: F.when(s["live"], "[SECRET]").otherwise("[EXAMPLE]")
+        pieces = F.transform(spans, lambda s, i: F.concat(piece(blocks, F.get(ends, i), s["start"]), mark(s)))
+        rest = piece(blocks, F.element_at(ends, -1), F.length(text))
+        return F.array_join(F.concat(pieces, F.array(rest)), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda state: F.array_join(
-        F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, F.length(text)))), ""
-    )
-    return F.aggregate(merged, start, piece, rest)
+    return bound(F.struct(blocks.alias("blocks"), ends.alias("ends")), marked)

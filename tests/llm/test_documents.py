@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorflow.llm import exact_dedup, ngram_join, personal_data, quality_rules, secret_scan
+from sensorflow.llm import exact_dedup, ngram_join, personal_data, quality_rules, secret_scan, spans
 from sensorflow.llm.components import components
 from tests.llm import support as S
 
@@ -246,6 +246,50 @@ def test_overlapping_secrets_become_one(spark):
     assert secret_scan.redacted(docs, "source", F.col("lang")).first().text == "[SECRET] rest"
 
 
+def many_hits():
+    """Texts with thousands of matches of every kind, and overlaps between kinds."""
+    rng = random.Random(12)
+    atoms = ["a@b.co ", "1.2.3.4", " +1 222 333 4444 ", "4111 1111 1111 1111 ", " call me 020 7946 0958 ", " id-1234567 ", "token=abcdefgh12 ", "AKIA" + "Q" * 14 + " ", "ab12" * 9 + " ", "word ", "  \n", "é", "Zx81QkV00p11Rw22Lm33Tt44 "]
+    return ["".join(rng.choice(atoms) for _ in range(n)) for n in (200, 1000, 6000)]
+
+
+def test_texts_of_many_hits(spark):
+    texts = many_hits()
+    docs = S.documents(spark, texts)
+    for r in personal_data.report(personal_data.find(docs)).collect():
+        found = sum(S.personal(texts[r.doc_id]), [])
+        assert r.base_sha256 == S.sha(",".join(found))
+    for r in secret_scan.report(secret_scan.find(docs, F.col("source"), F.col("lang"))).collect():
+        assert r.base_sha256 == S.sha(",".join(S.secrets(texts[r.doc_id])))
+
+
+def test_parts_of_an_array_give_what_the_whole_gives(spark, monkeypatch):
+    docs = S.documents(spark, [*many_hits()[:2], *mixed_texts(60)])
+    found = []
+    for least in (1, 7, 10**6):
+        monkeypatch.setattr(spans.in_blocks, "__defaults__", (least,))
+        columns = [personal_data.seeds(F.col("text")), personal_data.unseen(F.col("text")), personal_data.grouped(F.col("text"))]
+        rows = docs.where("text IS NOT NULL").select("doc_id", *columns).collect()
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1] == found[2]
+
+
+def test_redacted_texts_are_whole(spark, monkeypatch):
+    texts = [*many_hits()[:2], "é" * 5000 + " token=abcdefgh12 " + "ß" * 9000, "token=abcdefgh12", "x"]
+    docs = S.documents(spark, texts, ["s"] * len(texts))
+    whole = {r.doc_id: r.text for r in secret_scan.redacted(docs, "source", F.col("lang")).collect()}
+    judged = {r.doc_id: r for r in secret_scan.find(docs, F.col("source"), F.col("lang")).collect()}
+    for i, text in enumerate(texts):
+        spans_, out, at = sorted((s.start, s.end) for s in (*judged[i].base, *judged[i].added)), [], 0
+        while spans_:
+            start, end = spans_.pop(0)
+            while spans_ and spans_[0][0] < end:
+                end = max(end, spans_.pop(0)[1])
+            out += [text[at:start], "[SECRET]"]
+            at = end
+        assert whole[i] == "".join(out) + text[at:]
+
+
 def test_empty_tables(spark):
     docs = S.documents(spark, ["a"]).where("doc_id < 0")
     assert quality_rules.judge(docs).count() == 0 and quality_rules.kept_documents(docs).count() == 0
