@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorflow.llm.spans import bound
 from sensorflow.llm.tables import in_workers, written
 
-#: Longest word that a label may hold: the longest label of a DNS name.
-LONGEST_WORD = 63
+#: Letters by which longer words are looked up.
+GRAM = 8
+#: Weights are whole multiples of one in so many, so that ties are ties.
+SCALE = 1_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -61,51 +64,80 @@ def fitting_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """How often each word of at most LONGEST_WORD letters stands in the text of the pages."""
+    """How often each word stands in the text of the pages."""
     plain = F.regexp_replace(F.lower(F.col(text).cast("string")), r"<[^>]*>", " ")
     words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word"))
-    return words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label and its words; `labels` is distinct. No dictionary is sent to the tasks."""
+    """label and its words; `labels` is distinct. No dictionary is sent to the tasks.
+
+    Every place of a label meets the words of fewer than GRAM letters that stand there,
+    and of the longer ones those that begin with the GRAM letters there; so a label makes
+    rows in proportion to its length, whatever the length of words.
+    """
     total = counts.agg(F.sum("n")).first()[0] or 1
-    at = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start")
-    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("start") + 1))
-    pieces = (
-        labels.where("label != ''")
-        .select("label", at)
-        .select("label", "start", F.explode(sizes).alias("size"))
-        .withColumn("word", F.substring("label", F.col("start"), F.col("size")))
+    numbered = written(labels.where("label != ''").withColumn("id", F.monotonically_increasing_id()), "labels")
+    letters = F.regexp_extract_all("label", F.lit("(?s)."), F.lit(0))
+
+    def grams(letters: Column) -> Column:
+        gram = lambda i: F.array_join(F.slice(letters, i, GRAM), "")
+        return F.transform(F.sequence(F.lit(1), F.size(letters)), lambda i: F.struct(i.alias("start"), gram(i).alias("gram")))
+
+    places = numbered.select("id", F.explode(bound(letters, grams)).alias("p")).select("id", "p.start", "p.gram")
+    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("gram")))
+    short = (
+        places.select("id", "start", "gram", F.explode(sizes).alias("size"))
+        .select("id", "start", F.substring("gram", F.lit(1), F.col("size")).alias("word"))
+        .join(counts.where(F.length("word") < GRAM), "word")
     )
-    found = pieces.join(counts, "word").select("label", F.struct("start", "size", "n").alias("piece"))
-    lists = labels.where("label != ''").join(
-        found.groupBy("label").agg(F.collect_list("piece").alias("pieces")), "label", "left"
-    )
-    return lists.mapInArrow(in_workers(_segment, total=total), "label string, words array<string>")
+    long_words = counts.where(F.length("word") >= GRAM).withColumn("gram", F.substring("word", 1, GRAM))
+    long = places.where(F.length("gram") == GRAM).join(long_words, "gram")
+    pieces = short.select("id", "start", "word", "n").unionByName(long.select("id", "start", "word", "n"))
+    lists = numbered.join(pieces.groupBy("id").agg(F.collect_list(F.struct("start", "word", "n")).alias("pieces")), "id", "left")
+    return lists.select("label", "pieces").mapInArrow(in_workers(_segment, total=total), "label string, words array<string>")
 
 
 def _segment(batches, total):
     for batch in batches:
         names, found = [], []
         for row in batch.to_pylist():
-            counts = {(p["start"] - 1, p["size"]): p["n"] for p in row["pieces"] or []}
-            names.append(row["label"])
-            found.append(likeliest_split(row["label"], counts, total))
+            label, ending = row["label"], {}
+            for p in row["pieces"] or []:
+                if label.startswith(p["word"], p["start"] - 1):
+                    size = len(p["word"])
+                    ending.setdefault(p["start"] - 1 + size, []).append((size, p["n"]))
+            names.append(label)
+            found.append(likeliest_split(label, ending, total))
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["label", "words"]
         )
 
 
-def likeliest_split(label: str, counts: dict[tuple[int, int], int], total: int) -> list[str]:
-    """Viterbi over the places of a label; an unknown word is the less likely the longer."""
-    score, back = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
+def whole(weight: float) -> int:
+    """A log-probability as a whole number, so that sums don't depend on their order."""
+    return round(weight * SCALE)
+
+
+def likeliest_split(label: str, ending: dict[int, list[tuple[int, int]]], total: int) -> list[str]:
+    """Viterbi over the places of a label; an unknown word is the less likely the longer.
+
+    `ending` has the known words that end at a place, as size and count. The best unknown
+    word that ends at a place begins where score plus penalty is highest so far, so the
+    work grows with the label and its known words. Of equal splits the last word is the
+    shortest.
+    """
+    unknown, letter = whole(math.log(10 / total)), whole(math.log(10))
+    score, back = [0] * (len(label) + 1), [0] * (len(label) + 1)
+    best, best_at = 0, 0
     for end in range(1, len(label) + 1):
-        for size in range(1, min(LONGEST_WORD, end) + 1):
-            n = counts.get((end - size, size))
-            p = math.log(n / total) if n else math.log(10 / total) - size * math.log(10)
-            if score[end - size] + p > score[end]:
-                score[end], back[end] = score[end - size] + p, size
+        options = [(best + unknown - end * letter, best_at - end)]
+        options += [(score[end - size] + whole(math.log(n / total)), -size) for size, n in ending.get(end, ())]
+        score[end], size = max(options)
+        back[end] = -size
+        if score[end] + end * letter >= best:
+            best, best_at = score[end] + end * letter, end
     words, end = [], len(label)
     while end:
         words.append(label[end - back[end] : end])
@@ -131,8 +163,8 @@ def path_tokens(path: Column) -> Column:
     return F.filter(F.split(F.lower(path), NOT_WORD), lambda t: t != "")
 
 
-def weights(labelled: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
-    """Log-odds of block for each token of the labelled pages, and of the classes.
+def weights(labelled: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
+    """Log-odds of block for each token of the labelled pages, and of the classes, times SCALE.
 
     `labelled` has host, path and action. Hosts and paths are counted before they are
     split, so a busy host is one row.
@@ -155,8 +187,8 @@ def weights(labelled: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
     pages = labelled.agg(*sums).first()
     v, b, a = size["v"], size["b"] or 0, size["a"] or 0
     odds = F.log((F.col("block") + 1) / (F.col("allow") + 1)) + F.lit(math.log((a + v + 1) / (b + v + 1)))
-    prior = math.log(((pages["block"] or 0) + 1) / ((pages["allow"] or 0) + 1))
-    return counts.select("token", odds.alias("weight")), prior
+    prior = whole(math.log(((pages["block"] or 0) + 1) / ((pages["allow"] or 0) + 1)))
+    return counts.select("token", F.rint(odds * SCALE).cast("long").alias("weight")), prior
 
 
 def scores(tokens: DataFrame, by: str, weight: DataFrame) -> DataFrame:
@@ -187,10 +219,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], html: str = "html") -
     host_score = written(scores(of_host, "host", weight), "host_scores")
     path_score = written(scores(of_path, "path", weight), "path_scores")
     score = (
-        F.lit(prior)
-        + F.coalesce(F.col("host_score"), F.lit(0.0))
-        + F.coalesce(F.col("path_score"), F.lit(0.0))
-    )
+        F.lit(prior).cast("long")
+        + F.coalesce(F.col("host_score"), F.lit(0))
+        + F.coalesce(F.col("path_score"), F.lit(0))
+    ) / SCALE
     found = open_.join(host_score, "host", "left").join(path_score, "path", "left").withColumn("score", score)
     ruled = parsed.where("action IS NOT NULL").withColumn("score", F.lit(None).cast("double"))
     verdict = F.coalesce("action", F.when(F.col("score") > 0, "block").otherwise("allow"))

@@ -1,14 +1,18 @@
 """URL filters and web archives."""
 
 import hashlib
+import math
 import random
 import struct
+from collections import Counter
 
 import pytest
+import regex
 import zstandard
 
 from sensorflow.llm import archives, url_filter
 from sensorflow.llm.queries import URL_RULES
+from tests.conftest import TESTDATA
 
 SCHEMA = "page_id long, url string, html string, digest string, row string"
 
@@ -72,6 +76,88 @@ def test_held_out_accuracy(spark):
     assert sum(found[i] == v for i, v in truth.items()) >= 0.95 * len(truth)
 
 
+def plain_split(label, counts, total):
+    """Every split of a label's prefix, by each size of its last word."""
+    best = [(0, [])]
+    for end in range(1, len(label) + 1):
+        options = []
+        for size in range(1, end + 1):
+            word = label[end - size : end]
+            p = round(math.log(10 / total) * 10**6) - size * round(math.log(10) * 10**6)
+            if word in counts:
+                p = max(p, round(math.log(counts[word] / total) * 10**6))
+            options.append((best[end - size][0] + p, -size, word))
+        p, size, word = max(options)
+        best.append((p, [*best[end + size][1], word]))
+    return best[-1][1]
+
+
+def plain_judge(rows):
+    """page_id -> (verdict, score) by counting and adding, one page after the other."""
+    counts = Counter()
+    for _, _, html in rows:
+        counts.update(w for w in regex.split(r"[^\p{L}]+", regex.sub(r"<[^>]*>", " ", (html or "").lower())) if w)
+    total = sum(counts.values()) or 1
+    tokens, actions, split = {}, {}, {}
+    for page, url, _ in rows:
+        url = url or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host, path = regex.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = regex.sub("[A-Z]", lambda m: m.group().lower(), host)
+        fits = [(len(r), a) for a, r in URL_RULES if path.startswith(r[r.index("/"):]) and ("." + host).endswith("." + r[: r.index("/")])]
+        actions[page] = max(fits)[1] if fits else None
+        names = [x for x in regex.split(r"[^\p{L}\p{N}]+", host) if x]
+        for x in names:
+            split.setdefault(x, plain_split(x, counts, total))
+        tokens[page] = ["h:" + w for x in names for w in split[x]]
+        tokens[page] += ["p:" + t for t in regex.split(r"[^\p{L}\p{N}]+", path.lower()) if t]
+    block, allow, n_block, n_allow = Counter(), Counter(), 0, 0
+    for page, action in actions.items():
+        if action:
+            (block if action == "block" else allow).update(tokens[page])
+            n_block, n_allow = n_block + (action == "block"), n_allow + (action == "allow")
+    known = {*block, *allow}
+    size = math.log((sum(allow.values()) + len(known) + 1) / (sum(block.values()) + len(known) + 1))
+    weight = {t: round((math.log((block[t] + 1) / (allow[t] + 1)) + size) * 10**6) for t in known}
+    prior = round(math.log((n_block + 1) / (n_allow + 1)) * 10**6)
+    out = {}
+    for page, action in actions.items():
+        score = None if action else prior + sum(weight.get(t, 0) for t in tokens[page])
+        out[page] = (action or ("block" if score > 0 else "allow"), score)
+    return out
+
+
+def check_against_plain(spark, rows):
+    expected = plain_judge(rows)
+    found = url_filter.judged(pages(spark, rows), URL_RULES).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        verdict, score = expected[r.page_id]
+        assert (r.verdict, r.score is None) == (verdict, score is None)
+        assert score is None or abs(round(r.score * 10**6) - score) <= 2
+
+
+def test_every_page_equals_the_plain_version(spark):
+    table = spark.read.parquet(f"{TESTDATA}/sf0.001/pages.parquet").select("page_id", "url", "html")
+    check_against_plain(spark, [tuple(r) for r in table.collect()])
+
+
+def test_ties_repeats_and_long_labels(spark):
+    rng = random.Random(9)
+    words = ["casino", "win", "bets", "rechtsschutzversicherung", "schutz", "é", "a", "x" * 70]
+    html = " ".join(rng.choice(words) for _ in range(200))
+    rows = [(i, f"http://{''.join(rng.choices(words, k=3))}{rng.choice(['', '-shop'])}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['de', 'fr', 'x'])}/{i % 3}", html) for i in range(80)]
+    rows += [(100, "http://same.net/de/1", None), (101, "http://same.net/de/1", ""), (102, None, None)]
+    check_against_plain(spark, rows)
+    # As many pages of one class as of the other, with the same tokens: a tie, so allow.
+    even = [(1, "http://a.com/fr/", ""), (2, "http://a.com/de/", ""), (3, "http://b.net/", "")]
+    assert {r.page_id: (r.verdict, r.score) for r in url_filter.judged(pages(spark, even), URL_RULES).collect()}[3] == ("allow", 0.0)
+    label = "".join(rng.choice(words) for _ in range(20_000))
+    counts = url_filter.word_counts(pages(spark, rows), "html")
+    (found,) = url_filter.segmented(spark.createDataFrame([(label,)], "label string"), counts).collect()
+    assert "".join(found.words) == label and len(found.words) > 10_000
+
+
 def test_round_trip(spark, tmp_path):
     long = "<html>" + "é long page 🙂 " * 400
     rows = [(5, "http://x/ü\r\ny", long), (2, None, long), (9, "u", long), (9, "u", long), (None, "v", long), (1, "a", "short"), (3, "b", "short")]
