@@ -20,13 +20,14 @@ from sensorflow.catalog.common import (
 )
 from sensorflow.catalog.configurations import activity
 from sensorflow.operators import configs
+from sensorflow.plans import compiled
 from sensorflow.plans.job import jobs_frame
 from sensorflow.schemas import EVENT_COLUMNS
 from sensorflow.session import STATE_STORE, stored, use_utc, work_dir
 from sensorflow.sinks import publish, store
 from sensorflow.sources import messages, streams
 from sensorflow.sources.tables import activity_columns
-from sensorflow.streaming import registry, start
+from sensorflow.streaming import late, registry, start
 
 _SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
 
@@ -106,6 +107,47 @@ def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_.unionByName(done)
 
 
+_PARTS = 3
+_DELAY = 14 * 86_400
+
+
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three parts, each of which reaches back: kept and late rows, and the closed windows."""
+    output = work_dir(spark, "late")
+    rows = activity(spark, sf_dir)
+    columns = activity_columns()
+    for number in range(_PARTS):
+        rows.where(F.col("event_id") % _PARTS == number).write.parquet(f"{output}/activity/part={number}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
+        events_ = arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
+        late.start_split(events_, output, f"{output}/checkpoint", _DELAY, HOUR, availableNow=True).awaitTermination()
+    schema = rows.select(*[columns[c].alias(c) for c in EVENT_COLUMNS]).schema
+    sides = [late.rows(spark, output, side, schema).withColumn("side", F.lit(side)) for side in late.SIDES]
+    inputs, _ = compiled.job_outputs(sides[0].drop("side"), MAX_BY_LOCATION)
+    windows = late.closed_windows(inputs, late.watermark(spark, output), HOUR)
+    nothing = F.lit(None)
+    return (
+        sides[0]
+        .unionByName(sides[1])
+        .select(
+            "side",
+            F.col("arrival_seq").alias("event_id"),
+            nothing.cast("string").alias("window_start"),
+            nothing.cast("string").alias("grouping_key"),
+            nothing.cast("double").alias("result"),
+        )
+        .unionByName(
+            windows.select(
+                F.lit("closed").alias("side"),
+                F.col("seq").alias("event_id"),
+                window_start().alias("window_start"),
+                "grouping_key",
+                F.round("result_double", 6).alias("result"),
+            )
+        )
+    )
+
+
 def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the stream that don't parse, kept by reason."""
     output = work_dir(spark, "refused")
@@ -133,9 +175,6 @@ def _late(threshold: int):
     )
 
 
-_PARTS = 3
-
-
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job that is there at start, and one that is registered, and registered anew, meanwhile.
 
@@ -221,6 +260,20 @@ QUERIES = {
         _event_time,
         windowed_sql("hourly-max", "max", "sensor = 'click' AND measurement > 5"),
     ),
+    "stream_late_rows": (
+        _late_rows,
+        f"""
+WITH e AS (
+  SELECT *, event_id % 3 AS part, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS ending FROM {source()}),
+marks AS (SELECT part, max(ts) - INTERVAL '14 days' AS mark FROM e GROUP BY part),
+sided AS (
+  SELECT *, CASE WHEN ending <= (SELECT max(mark) FROM marks WHERE marks.part < e.part) THEN 'late' ELSE 'on_time' END AS side FROM e)
+SELECT side, event_id, CAST(NULL AS VARCHAR) AS window_start, CAST(NULL AS VARCHAR) AS grouping_key, CAST(NULL AS DOUBLE) AS result FROM sided
+UNION ALL SELECT 'closed', min(event_id), strftime(ending - INTERVAL '1 hour', '%Y-%m-%dT%H:%M:%SZ'), location, round(max(measurement), 6)
+FROM sided WHERE side = 'on_time' AND sensor = 'click' AND measurement > 5 AND ending <= (SELECT max(mark) FROM marks)
+GROUP BY ending, location
+""",
+    ),
     "stream_recovery": (
         _recovered,
         "SELECT seen, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start, "
