@@ -34,6 +34,7 @@ HEADLINE = (
     "quality_label",
     "compiled_all_jobs",
     "data_driven_all_jobs",
+    "many_jobs",
     "latest_results",
     "stream_event_time",
 )

@@ -4,19 +4,6 @@ from __future__ import annotations
 
 # Fixed values ---------------------------------------------------------------
 
-SENSORS = ("temperature", "pressure", "humidity", "air_quality", "light", "noise")
-
-LOCATIONS = (
-    "room-a",
-    "room-b",
-    "room-c",
-    "room-d",
-    "lobby",
-    "conference-room",
-    "kitchen",
-    "server-room",
-)
-
 UNITS = {
     "temperature": "Celsius",
     "pressure": "hPa",
