@@ -2,7 +2,7 @@
 
 Two texts are equal when they are the same after white space is deleted. Documents are
 grouped by the MD5 of that form. Inside each group of several rows the least and the
-greatest text are found; they are folded on the map side, so a hot group never meets in
+greatest text are found; a large group is cut into parts for that, so it never meets in
 one task. If they differ, the hash collided, and that group alone is split by its texts.
 
 Of equal texts the row with the most code points stays, then the smallest doc_id, then
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from sensorflow.llm.tables import written
 
 LAST_ID = 2**63 - 1
+# Rows of a group that are compared in one part, and how many larger groups there can be.
+PART_ROWS = 10_000
+MOST_HOT = 100_000
 
 
 def normal_text(text: Column) -> Column:
@@ -32,12 +35,30 @@ def content_hash(normal: Column) -> Column:
 
 
 def collisions(docs: DataFrame, hashed: DataFrame, hash_of: Callable[[Column], Column]) -> DataFrame:
-    """Hashes whose groups hold different texts; as a rule none."""
-    several = written(
-        hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several"
+    """Hashes whose groups hold different texts; as a rule none.
+
+    The texts of a large group are compared in parts, by the least and the greatest of
+    each, and then those of the parts. Groups above a MOST_HOT-th of all rows are large, so
+    there are fewer than MOST_HOT of them, and their hashes can be broadcast.
+    """
+    several = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    part_rows = max(PART_ROWS, -(-hashed.count() // MOST_HOT))
+    parts = F.ceil(F.col("n") / part_rows)
+    hot = several.where(F.col("n") > part_rows).select("h", parts.alias("parts"))
+    texts = (
+        docs.select(F.monotonically_increasing_id().alias("id"), normal_text(F.col("text")).alias("normal"))
+        .withColumn("h", hash_of(F.col("normal")))
+        .join(F.broadcast(hot), "h", "left")
+        .withColumn("part", F.pmod("id", F.coalesce("parts", F.lit(1))))
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    ends = (
+        texts.join(several.select("h", every.alias("part")), ["h", "part"])
+        .groupBy("h", "part")
+        .agg(F.min("normal").alias("a"), F.max("normal").alias("z"))
+        .groupBy("h")
+        .agg(F.min("a").alias("a"), F.max("z").alias("z"))
     )
-    texts = docs.select(normal_text(F.col("text")).alias("normal")).withColumn("h", hash_of(F.col("normal")))
-    ends = texts.join(several, "h").groupBy("h").agg(F.min("normal").alias("a"), F.max("normal").alias("z"))
     return written(ends.where("a != z").select("h"), "collisions")
 
 

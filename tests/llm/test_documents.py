@@ -42,8 +42,9 @@ def weak_hash(normal):
     return F.substring(normal, 1, 2).cast("binary")
 
 
-@pytest.mark.parametrize("hash_of", [exact_dedup.content_hash, weak_hash])
-def test_exact_dedup(spark, hash_of):
+@pytest.mark.parametrize("hash_of, part_rows", [(exact_dedup.content_hash, 10_000), (weak_hash, 10_000), (weak_hash, 2)])
+def test_exact_dedup(spark, monkeypatch, hash_of, part_rows):
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", part_rows)
     texts = S.nasty() + ["a b", "ab", "a  b", " a", "abc", "abd", "ab c", "ABC", None]
     texts += [(3, "a"), (3, "a"), (None, "a"), (None, "only null id"), (-5, "zz"), (7, "z z"), (-5, "z z")]
     docs = S.clashing(S.documents(spark, texts))
