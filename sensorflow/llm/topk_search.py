@@ -30,10 +30,11 @@ from sensorflow.llm.tables import in_workers, written
 FIT_VALUES = 1 << 20
 HEAD_VALUES = 1 << 17
 SLAB_VALUES = 1 << 21
-QUERY_VALUES = 1 << 18
+QUERY_VALUES = 1 << 20
 CLASSES = 64
 BLOCK = 512
 ROUNDING = 1e-9
+RESULT = "query_id long, rank int, vec_id long, score long"
 FOUND = "query long, query_id long, vec_id long, score long"
 NOTHING = np.iinfo(np.int64).min
 
@@ -191,7 +192,7 @@ def _axes(points: DataFrame, width: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, k: int, is_query: Column, scale: int = 64, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows of each row that is a query."""
-    points = written(whole(vectors, scale, column), "points")
+    spark, points = vectors.sparkSession, written(whole(vectors, scale, column), "points")
     n, width, n_queries = points.agg(
         F.count("*"), F.max(F.size("x")), F.count_if(is_query)
     ).first()
@@ -220,36 +221,48 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, scale: int = 64, column:
         r["class"]: (-(-r["n"] // slab), r["top"])
         for r in points.groupBy("class").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect()
     }
-    parts = max(1, -(-n_queries // max(1, QUERY_VALUES // width)))
-    salts = F.element_at(F.create_map(*(F.lit(v) for c, (s, _) in sizes.items() for v in (c, s))), F.col("class")) if sizes else F.lit(1)
-    candidates = points.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), salts)).select(
-        "class",
-        "salt",
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        F.lit(None).cast("long").alias("query"),
-        "vec_id",
-        "x",
-        F.lit(None).cast("long").alias("floor"),
-    )
+    if not sizes or not n_queries:
+        return spark.createDataFrame([], RESULT)
+    # The classes that a query reaches, and of each class how many queries reach it: what
+    # nothing reaches is left out, and a slab is copied only for parts of those that do.
     reached = F.filter(
-        F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("salts"), F.lit(t).alias("top")) for c, (s, t) in sizes.items()))
-        if sizes
-        else F.array().cast("array<struct<class:int,salts:bigint,top:double>>"),
+        F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("salts"), F.lit(t).alias("top")) for c, (s, t) in sizes.items())),
         lambda c: c["top"] * F.col("length") * (1 + ROUNDING) + ROUNDING >= F.col("floor"),
     )
-    asked = (
-        queries.withColumn("slab", F.explode(reached))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slab.salts").cast("int") - 1)))
+    reaching = queries.withColumn("slab", F.explode(reached))
+    part_rows = max(1, QUERY_VALUES // width)
+    parts = {
+        r["class"]: -(-r["n"] // part_rows)
+        for r in reaching.groupBy(F.col("slab.class").alias("class")).agg(F.count("*").alias("n")).collect()
+    }
+
+    def by_class(values: dict[int, int], number: Column) -> Column:
+        return F.element_at(F.create_map(*(F.lit(v) for pair in values.items() for v in pair)), number)
+
+    salts = by_class({c: s for c, (s, _) in sizes.items()}, F.col("class"))
+    last_part = by_class(parts, F.col("class")).cast("int") - 1
+    candidates = (
+        points.where(F.col("class").isin(*parts))
+        .withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), salts))
         .select(
-            F.col("slab.class").alias("class"),
-            F.col("salt").cast("long").alias("salt"),
-            F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part"),
-            "query",
+            "class",
+            "salt",
+            F.explode(F.sequence(F.lit(0), last_part)).alias("part"),
+            F.lit(None).cast("long").alias("query"),
             "vec_id",
             "x",
-            "floor",
+            F.lit(None).cast("long").alias("floor"),
         )
     )
+    asked = reaching.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("slab.salts").cast("int") - 1))).select(
+        F.col("slab.class").alias("class"),
+        F.col("salt").cast("long").alias("salt"),
+        F.pmod(F.xxhash64("query"), by_class(parts, F.col("slab.class"))).cast("int").alias("part"),
+        "query",
+        "vec_id",
+        "x",
+        "floor",
+    )
     found = (
         candidates.unionByName(asked)
         .groupBy("class", "salt", "part")
