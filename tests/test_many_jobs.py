@@ -67,3 +67,34 @@ def test_a_thousand_jobs_make_a_small_plan(spark):
     rows = compiled.run_jobs(frame(spark, [event("t", 3.5), event("t", 999.0)]), jobs)
     assert rows.count() == 4 + 999
     assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_jobs_of_one_list_share_its_work(spark):
+    rng = random.Random(7)
+    lists = [
+        [step("filter_greater", sensor="t", threshold=2.5)],
+        [step("filter_less", sensor="t", threshold=2.5), step("sum", "location", sensor="t")],
+        [step("filter_greater", sensor="t", threshold=1), step("max", "location", sensor="t")],
+        [step("sum", "location", sensor="h")],
+        [step("filter_cross_field", filter_sensor="t", target_sensor="h", filter_threshold=1)],
+    ]
+    # Some names come twice, under one list or under two; those count twice, as in the fold.
+    jobs = [job(f"j{rng.randrange(30)}", *rng.choice(lists)) for _ in range(60)]
+    rows = [event(rng.choice(SENSORS), float(rng.randrange(6)), at=rng.choice([0, 30]), location=rng.choice("xy")) for _ in range(40)]
+    events, table = frame(spark, rows), jobs_frame(spark, jobs)
+    table = table.withColumn("jobId", F.when(F.col("jobId") != "j3", F.col("jobId")))
+    expected = collected(data_driven.run(events, table))
+    assert len(expected) > 300
+    assert collected(indexed.run(events, table)) == expected
+    assert collected(indexed.run(events, table, lot=2, block=2)) == expected
+    assert indexed.lots(table).count() == len(lists)
+
+
+def test_tables_beyond_the_bound_are_not_sent_through_the_driver(spark):
+    """Rows that resemble each other make small files, by which Spark itself would broadcast them."""
+    over = [step("filter_greater", sensor="t", threshold=i) for i in range(100)]
+    jobs = [job(f"j{i}", s, *[step("max", sensor="t")] * (i % 2)) for i, s in enumerate(over)]
+    events, table = frame(spark, [event("t", 3.5), event("t", 50.5)]), jobs_frame(spark, jobs)
+    for run in (indexed.run, data_driven.run):
+        rows = run(events, table, broadcast_bytes=0)
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
