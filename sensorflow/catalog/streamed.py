@@ -61,6 +61,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity_stream(spark, sf_dir).select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
 
 
+def _arrive(rows: DataFrame, output: str, number: int) -> DataFrame:
+    """Writes rows as the next part of a folder of activity; the folder as a stream of events.
+
+    A file or row group is read by one task, so however few the rows came in, they are dealt
+    out to as many files as there are cores.
+    """
+    spark, columns = rows.sparkSession, activity_columns()
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{output}/activity/part={number}")
+    arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
+    return arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
+
+
 def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over event time; updates of a window replace each other in the store."""
     output = work_dir(spark, "event-time")
@@ -84,14 +96,10 @@ def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that is stopped half-way: the state it left behind, and the results after its restart."""
     output = work_dir(spark, "recovery")
     rows = activity(spark, sf_dir)
-    columns = activity_columns()
     state = None
     for number in range(2):
-        rows.where(F.col("event_id") % 2 == number).write.parquet(f"{output}/activity/part={number}")
-        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
-        results = start.fixed_job_results(
-            arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS]), [MAX_BY_LOCATION], HOUR, event_time=True
-        )
+        events_ = _arrive(rows.where(F.col("event_id") % 2 == number), output, number)
+        results = start.fixed_job_results(events_, [MAX_BY_LOCATION], HOUR, event_time=True)
         with _stream_settings(spark):
             query = start.start(results, f"{output}/store", f"{output}/checkpoint", "update", availableNow=True)
         query.awaitTermination()
@@ -118,9 +126,7 @@ def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = activity(spark, sf_dir)
     columns = activity_columns()
     for number in range(_PARTS):
-        rows.where(F.col("event_id") % _PARTS == number).write.parquet(f"{output}/activity/part={number}")
-        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
-        events_ = arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
+        events_ = _arrive(rows.where(F.col("event_id") % _PARTS == number), output, number)
         late.start_split(events_, output, f"{output}/checkpoint", _DELAY, HOUR, availableNow=True).awaitTermination()
     schema = rows.select(*[columns[c].alias(c) for c in EVENT_COLUMNS]).schema
     sides = [late.rows(spark, output, side, schema).withColumn("side", F.lit(side)) for side in late.SIDES]
@@ -187,17 +193,17 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = streams.Settings(output=f"{output}/store", checkpoint=f"{output}/checkpoint", config_path=f"{output}/configs")
     rows = activity(spark, sf_dir)
     low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
-    part = F.floor(F.lit(_PARTS) * (F.col("event_id") - F.lit(low)) / F.lit((high or 0) - (low or 0) + 1))
-    columns = activity_columns()
+    # The least id of each part, in whole numbers: as bounds of a range they reach the scan.
+    low, size = low or 0, (high or 0) - (low or 0) + 1
+    least = [low + (number * size + _PARTS - 1) // _PARTS for number in range(_PARTS + 1)]
     registry.register(jobs_frame(spark, [_GIVEN]), settings.registry)
     for number in range(_PARTS):
         if number:
             late = jobs_frame(spark, [_late(50 if number == 1 else 20)])
             publish.publish_configs(configs.config_messages(late), settings)
             start.start_registrations(spark, settings, availableNow=True).awaitTermination()
-        rows.where(part == number).write.parquet(f"{output}/activity/part={number}")
-        arriving = spark.readStream.schema(rows.schema).parquet(f"{output}/activity")
-        events_ = arriving.select(*[columns[c].alias(c) for c in EVENT_COLUMNS])
+        mine = (F.col("event_id") >= least[number]) & (F.col("event_id") < least[number + 1])
+        events_ = _arrive(rows.where(mine), output, number)
         results = start.live_job_results(events_, settings.registry, HOUR, event_time=True)
         with _stream_settings(spark):
             query = start.start(results, settings.output, f"{settings.checkpoint}/events", "update", availableNow=True)

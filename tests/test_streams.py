@@ -3,12 +3,14 @@
 import json
 import os
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from support import INF, collected, event, frame, job, numbered, step
 
+from sensorflow.catalog import streamed
 from sensorflow.operators.aggregates import GROUP
 from sensorflow.plans import compiled
 from sensorflow.plans.job import jobs_frame
@@ -242,3 +244,21 @@ def test_fold_of_rows_that_arrived_together(order):
     for i in order:
         acc = windows._fold(acc, pd.DataFrame([rows[i]]))
     assert acc[-1] is None and acc[-2] == 4
+
+
+def test_parts_of_a_stream_are_work_for_all_cores(spark, tmp_path):
+    """Whatever files the activity comes in: here one file of one row group."""
+    rows = spark.range(90).selectExpr(
+        "id + 7 AS event_id", "timestamp_ntz'2026-01-01 00:00:00' AS ts", "id AS user_id",
+        "if(id % 2 = 0, 'view', 'click') AS event_type", "double(id) AS value",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    work = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*work.glob("live-*")}
+    got = streamed.QUERIES["stream_live_config"][0](spark, str(tmp_path)).collect()
+    folder = ({*work.glob("live-*")} - before).pop() / "activity"
+    parts = {n: spark.read.parquet(f"{folder}/part={n}") for n in range(3)}
+    ids = [sorted(r.event_id for r in parts[n].select("event_id").collect()) for n in range(3)]
+    assert ids == [[*range(7, 37)], [*range(37, 67)], [*range(67, 97)]]
+    assert all(len([*(folder / f"part={n}").glob("*.parquet")]) == spark.sparkContext.defaultParallelism for n in range(3))
+    assert sum(r.result_double for r in got if r.result_kind == "aggregate") == sum(v for v in range(90) if v % 2 and (30 <= v < 60 and v > 50 or v >= 60))
