@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorflow.llm import exact_dedup, ngram_join, personal_data, quality_rules, secret_scan, spans
+from sensorflow.llm import exact_dedup, ngram_join, personal_data, quality_rules, secret_scan, spans, tables
 from sensorflow.llm.components import components
 from tests.llm import support as S
 
@@ -114,6 +116,47 @@ def test_prefix_tree_finds_all_alike(monkeypatch, part):
         assert {(int(i), int(k)) for i, k in found} == alike
 
 
+def test_ngram_join_in_waves_leaves_only_its_result_on_disk(spark, monkeypatch):
+    for name, value in {"CELL": 8, "GROUP": 6, "WHOLE": 20, "WAVE": 1, "TOKENS": 1, "WAVES": 2, "PLACES": 64}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    names = []
+    monkeypatch.setattr(ngram_join, "written", lambda frame, name: names.append(name) or tables.written(frame, name))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    texts = S.nasty() + near_copies()[:50]
+    rows = ngram_join.grouped(S.clashing(S.documents(spark, texts)), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == S.near_groups(dict(enumerate(texts)), 5, 80)
+    assert names.count("hits") == 2 and names.count("pairs") > 3
+    left = {p.name.partition("-")[0] for p in set(shared.iterdir()) - before}
+    # Besides the result only narrow tables of links and roots.
+    assert left - {"pairs", "links", "pointers", "roots"} == {"components", "sketches"}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    table = tables.written(spark.range(1000).groupBy(F.col("id") % 7).count(), "counted")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 7
+    tables.dropped(table)
+    assert not Path(table.folder).exists()
+
+
+def test_few_texts_move_to_the_ids_wanted(spark):
+    texts = spark.range(20_000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    wanted = spark.range(0, 20_000, 100).select("id", F.lit(1).alias("other"))
+    found = [r.id for r in ngram_join._likely(texts, wanted).collect()]
+    assert set(range(0, 20_000, 100)) <= set(found) and len(found) == len(set(found)) < 400
+
+
 def test_ngram_join_keeps_one_of_each_group(spark):
     texts = near_copies()
     docs = S.clashing(S.documents(spark, [*texts, (None, texts[0]), (0, texts[0])]))
