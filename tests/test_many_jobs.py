@@ -98,3 +98,20 @@ def test_tables_beyond_the_bound_are_not_sent_through_the_driver(spark):
     for run in (indexed.run, data_driven.run):
         rows = run(events, table, broadcast_bytes=0)
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_move_by_the_lot_and_not_by_the_job(spark):
+    """Names come after the last shuffle, and step lists with them."""
+    jobs = [job(f"j{i}", step("filter_greater", sensor="t", threshold=2), *[step("max", sensor="t")] * (i % 2)) for i in range(100)]
+    events = frame(spark, [event("t", 3.5), event("t", 50.5)])
+    rows = indexed.run(events, jobs_frame(spark, jobs))
+    above, named = [], 0
+    for line in rows._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, node) for d, node in above if d < depth] + [(depth, line[depth:])]
+        if "Generate explode(names" in line:
+            named += 1
+            assert not [node for _, node in above if node.startswith("Exchange")]
+    assert named == 2
+    assert rows.count() == 50 * 2 + 50
+    assert rows.select("job_id").distinct().count() == 100 and rows.where("transformations[0].type is null").count() == 0
